@@ -1,7 +1,7 @@
 """All queries of this subpackage and their SQL, where SQL can express them."""
 
-from agoramill.llm import capping, components, formatting, overlap, tokenizing
+from agoramill.llm import capping, components, formatting, overlap, personal, tokenizing
 
-_MODULES = (overlap, formatting, capping, components, tokenizing)
+_MODULES = (personal, overlap, formatting, capping, components, tokenizing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
