@@ -73,9 +73,9 @@ _GAP = r"[ .\-/\u00a0\u202f\u2009]"
 _SP = r"[ .\-\u00a0\u202f\u2009]?"
 _STREET = r"(?:rue|avenue|boulevard|place|square|chemin|impasse|all[eé]e|quai|route|cours|passage|esplanade|faubourg|sentier|ruelle|lotissement|r[eé]sidence|av\.?|ave\.?|bd\.?|bld\.?|blvd\.?|pl\.?|sq\.?|ch\.?|imp\.?|all\.?|rte\.?|r\.)"
 
-#: (type, needed signs, pattern), in the order of masking.
+#: (type, cheap sign that the pattern can match, pattern), in the order of masking.
 PATTERNS = [
-    ("email", "@|arobase|AROBASE|Arobase|[\\[(][ ]?[aA][tT]", rf"(?iu)(?:mailto:)?(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+\-]*{_AT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{_DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{_DOT}\p{{L}}{{2,12}}(?![\p{{L}}\p{{N}}])"),
+    ("email", lambda t: t.contains("@") | t.contains("robase") | t.contains("ROBASE") | t.rlike(r"[\[(][ ]?[aA][tT]"), rf"(?iu)(?:mailto:)?(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+\-]*{_AT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{_DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{_DOT}\p{{L}}{{2,12}}(?![\p{{L}}\p{{N}}])"),
     (
         "identity_number",
         r"(?i)[0-9](?:[^0-9A-Za-z]?[0-9]){8}|[0-9]{2} ?[A-Za-z]{2} ?[0-9]{5}|cni|identit",
@@ -109,13 +109,13 @@ def _name(gap: str) -> str:
 NAME = _name(r"[   ]+")
 USER_NAME = _name(r"[ ._\- ]+")
 _MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x308, 0x327)))
-_CUES = sorted({*FEMALE, *MALE, "m", "mr", "mme", "mlle", "monsieur", "madame", "mademoiselle", "dr", "docteur", "me", "maitre", "pr", "professeur"})
+_CUES = sorted({*FEMALE, *MALE, "mr", "mme", "mlle", "monsieur", "madame", "mademoiselle", "dr", "docteur", "maitre", "pr", "professeur"})
 
 
 def _has_cue(c: Column) -> Column:
     """Whether a word of the text is a first name or a title; a hash lookup per word, before any name pattern runs."""
     plain = F.translate(F.lower(c), ACCENTED + _MARKS, BASE)
-    return F.exists(F.split(plain, "[^a-z]+"), lambda w: w.isin(_CUES))
+    return F.exists(F.split(plain, "[^a-z]+"), lambda w: w.isin(_CUES)) | c.rlike(r"(?:[Mm]\. ?|\bMe )\p{L}")
 
 
 def _let(value: Column, body) -> Column:
@@ -124,7 +124,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _chain(name: str):
-    return [*((k, lambda t, s=s: t.rlike(s), p) for k, s, p in PATTERNS), ("person_name", _has_cue, name)]
+    return [*((k, s if callable(s) else lambda t, s=s: t.rlike(s), p) for k, s, p in PATTERNS), ("person_name", _has_cue, name)]
 
 
 def entities(c: Column, name: str = NAME) -> Column:
