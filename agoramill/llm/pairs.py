@@ -124,7 +124,8 @@ def _shortened(firsts: list[tuple[int, str]]):
                 if before is not None and u.startswith(before) and regex.search(r"[\p{L}\p{N}]", u[len(before) :]):
                     hits.append(before)
                 before, part = u, p
-            yield pd.DataFrame({"u": hits})
+            if hits:
+                yield pd.DataFrame({"u": hits})
         after = next((f for p, f in firsts if part is not None and p > part), None)
         if before is not None and after is not None and after.startswith(before) and regex.search(r"[\p{L}\p{N}]", after[len(before) :]):
             yield pd.DataFrame({"u": [before]})
