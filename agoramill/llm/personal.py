@@ -203,6 +203,10 @@ def normal(kind: Column, form: Column) -> Column:
     return F.when(kind == "person_name", name).when(kind.isin("phone", "identity_number"), F.regexp_replace(low, r"[^a-z0-9]+", "")).otherwise(F.regexp_replace(low, r"\s+", " "))
 
 
+def _of_field(swaps: Column, field: str) -> Column:
+    return F.filter(swaps, lambda s: s["field"] == field)
+
+
 def replaced(df: DataFrame, fields: dict[str, str] | None = None, secret: str = "agoramill") -> DataFrame:
     """``df`` with every detected entity of ``fields`` (column to name pattern) replaced by its placeholder.
 
@@ -227,7 +231,7 @@ def replaced(df: DataFrame, fields: dict[str, str] | None = None, secret: str =
     swaps = joined.withColumn("to", F.concat(F.lit("["), "type", F.lit(":"), cased, F.lit("]"))).groupBy("__row").agg(F.collect_list(F.struct((-F.length("form")).alias("l"), "form", "to", "field")).alias("__s"))
     out = marked.join(swaps, "__row", "left")
     for f in fields:
-        own_swaps = F.array_sort(F.filter(F.coalesce("__s", F.array()), lambda s, f=f: s["field"] == f))
+        own_swaps = F.array_sort(_of_field(F.coalesce("__s", F.array().cast("array<struct<l:int,form:string,to:string,field:string>>")), f))
         out = out.withColumn(f, F.aggregate(own_swaps, F.col(f), lambda t, s: F.replace(t, s["form"], s["to"])))
     return out.select(*cols)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoramill.functions.text import fold
-from agoramill.runtime import stage
+from agoramill.runtime import release, stage
 
 # Curated seed terms of each subject, folded and without words of one or two letters.
 SEEDS = {
@@ -52,9 +52,9 @@ def sentences(c: Column) -> Column:
 
     Links, tags and sentences without such a word are left out; line ends and . ! ? … end a sentence.
     """
-    plain = F.regexp_replace(repaired(c), r"https?://\S+|www\.\S+|</?[A-Za-z][^>]*>|\[/?[A-Za-z]+[^\]]*\]|^[ >]+", " ")
-    raw = F.filter(F.split(plain, r"[.!?…]+(?=[\s»\"')]|$)|[\n\r]+"), lambda s: s.rlike(r"\p{L}{3}"))
-    return F.transform(raw, lambda s: F.concat(F.lit(" "), F.array_join(F.filter(F.regexp_extract_all(fold(s), F.lit(r"[a-z]{3,}"), F.lit(0)), lambda w: F.lit(True)), " "), F.lit(" ")))
+    plain = F.regexp_replace(fold(repaired(c)), r"https?://\S+|www\.\S+|</?[A-Za-z][^>]*>|\[/?[A-Za-z]+[^\]]*\]|^[ >]+", " ")
+    raw = F.filter(F.split(plain, r"[.!?…]+(?=[\s»\"')]|$)|[\n\r]+"), lambda s: s.rlike(r"[a-z]{3}"))
+    return F.transform(raw, lambda s: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(s, F.lit(r"[a-z]{3,}"), F.lit(0)), " "), F.lit(" ")))
 
 
 def _terms(s: Column) -> Column:
@@ -97,8 +97,8 @@ def _matched(terms: list[tuple[str, int, float]], least: float):
     return F.pandas_udf(run, "array<int>")
 
 
-def learned_terms(df: DataFrame, text: str = "text") -> list[tuple[str, int, float]]:
-    """(term, number of the subject, weight) from the counts over all documents.
+def learned_terms(split: DataFrame) -> list[tuple[str, int, float]]:
+    """(term, number of the subject, weight) from the counts over all documents, given as sentences (column s).
 
     A document's subjects are the shares of its sentences with seeds; only documents with three such sentences teach. A
     term stands for the subject that holds ``PURITY`` of its sentences. The list goes to all executors; it is bounded by
@@ -107,13 +107,13 @@ def learned_terms(df: DataFrame, text: str = "text") -> list[tuple[str, int, flo
     """
     seeds = [(t, k, 1.0) for k, s in enumerate(SUBJECTS) for t in SEEDS[s].split("|")]
     n = len(SUBJECTS)
-    docs = df.select(sentences(F.col(text)).alias("s")).withColumn("c", _matched(seeds, 0.0)("s"))
+    docs = split.select("s").withColumn("c", _matched(seeds, 0.0)("s"))
     own = F.slice("c", 1, n)
     seen = F.aggregate(own, F.lit(0), lambda a, x: a + x)
     docs = docs.withColumn("n", seen).where("n >= 3").select("s", F.transform(F.slice("c", 1, n), lambda x: x / F.col("n")).alias("q"))
     each = docs.select(F.explode("s").alias("s"), "q").select(F.explode(_terms(F.col("s"))).alias("term"), "q").where(F.length("term") >= 3)
     sums = stage(each.groupBy("term").agg(F.count("*").alias("n"), *[F.sum(F.col("q")[k]).alias(f"q{k}") for k in range(n)]), "terms")
-    total = docs.select(F.sum(F.size("s"))).first()[0] or 0
+    total = split.select(F.sum(F.greatest(F.size("s"), F.lit(0)))).first()[0] or 0
     least = max(LEAST, total * LEAST_SHARE)
     shares = F.array(*[F.col(f"q{k}") / F.col("n") for k in range(n)])
     pure = sums.where(F.col("n") >= least).withColumn("p", F.array_max(shares)).withColumn("k", F.array_position(shares, F.array_max(shares)) - 1)
@@ -123,10 +123,10 @@ def learned_terms(df: DataFrame, text: str = "text") -> list[tuple[str, int, flo
     return sorted((r["term"], r["k"], float(r["w"])) for r in rows)
 
 
-def counted(df: DataFrame, terms: list[tuple[str, int, float]], keys: list[str], text: str = "text", least: float = 0.05) -> DataFrame:
+def counted(split: DataFrame, terms: list[tuple[str, int, float]], keys: list[str], least: float = 0.05) -> DataFrame:
     """``keys``, the sentences of each subject (array c) and the number of sentences (n)."""
     n = len(SUBJECTS)
-    d = df.select(*keys, _matched(terms, least)(sentences(F.col(text))).alias("c"))
+    d = split.select(*keys, _matched(terms, least)("s").alias("c"))
     return d.select(*keys, F.slice("c", 1, n).alias("c"), F.col("c")[n].alias("n"))
 
 
@@ -158,8 +158,9 @@ def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc
     Null, blank and foreign texts deal with none. Repeated rows of a document count once. Ties of a sentence go to the
     subject listed first. Subjects of ``areas`` for which there are no seeds never come out.
     """
-    terms = learned_terms(df, text)
-    counts = stage(counted(df, terms, [key], text), "counts")
+    split = stage(df.select(key, sentences(F.col(text)).alias("s")), "sentences")
+    counts = stage(counted(split, learned_terms(split), [key]), "counts")
+    release(split)
     at = calibrated(counts, labels, key)
     share = [F.struct(F.lit(s).alias("subject"), (F.col("c")[k] / F.col("n")).alias("share")) for k, s in enumerate(SUBJECTS)]
     found = counts.where("n > 0").select(key, F.explode(F.array(*share)).alias("x")).where(F.col("x.share") >= at)
