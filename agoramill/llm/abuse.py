@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoramill.llm.capping import account
+from agoramill.runtime import stage
 
 #: Bounds of the labelled sample and of the model, documented parameters.
 SAMPLE, FEATURES = 20_000, 200_000
@@ -77,7 +78,7 @@ def proper(texts: list[str]) -> frozenset[str]:
 class Ordinal:
     """P(grade <= k) = sigmoid(theta_k - w x), theta increasing; the weights are shared by all thresholds."""
 
-    def __init__(self, grades: list[int], l2: float = 2e-4, rounds: int = 300, rate: float = 0.15):
+    def __init__(self, grades: list[int], l2: float = 7e-4, rounds: int = 300, rate: float = 0.15):
         self.grades, self.l2, self.rounds, self.rate = grades, l2, rounds, rate
 
     def fit(self, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int, d: int) -> Ordinal:
@@ -122,10 +123,10 @@ def _design(texts: list[str], names: frozenset[str], index: dict[str, int]):
 
 
 def fitted(labelled: DataFrame, text: str = "content", grade: str = "CoT_score", bound: int = SAMPLE) -> dict | None:
-    """The model as a plain dictionary: names, weights by sequence, thresholds, grades and the flag's severity.
+    """The model as a plain dictionary: names, weights by sequence, thresholds, grades and the gap.
 
-    Learns from at most ``bound`` distinct texts with a grade "n/10" (the smallest hashes). The flag's severity is the
-    middle of the widest gap between grades, where the annotators leave one, else half the scale. Null without labels.
+    Learns from at most ``bound`` distinct texts with a grade "n/10" (the smallest hashes). gap holds the ends of the
+    widest gap between grades, where the annotators leave one, else one grade around half the scale. Null without labels.
     """
     g = F.try_element_at(F.regexp_extract_all(F.col(grade), F.lit(r"(\d{1,2}) ?/ ?10"), F.lit(1)), F.lit(1)).cast("int")
     some = labelled.select(F.col(text).alias("t"), g.alias("g")).where("t IS NOT NULL AND g BETWEEN 0 AND 10").groupBy("t").agg(F.max("g").alias("g")).orderBy(F.xxhash64("t"), "t").limit(bound)
@@ -135,15 +136,15 @@ def fitted(labelled: DataFrame, text: str = "content", grade: str = "CoT_score",
     texts = pdf["t"].tolist()
     names = proper(texts)
     counts = Counter(s for t in texts for s in sequences(tokens(t, names)))
-    kept = [s for s, c in counts.most_common(FEATURES) if c >= 3]
+    kept = [s for s, c in counts.most_common(FEATURES) if c >= 2]
     index = {s: i for i, s in enumerate(sorted(kept))}
     grades = sorted(map(int, pdf["g"].unique()))
     y = pdf["g"].map({v: i for i, v in enumerate(grades)}).to_numpy()
     rows, cols = _design(texts, names, index)
     model = Ordinal(grades).fit(rows, cols, y, len(texts), max(1, len(index)))
     gap = max(zip(grades, grades[1:]), key=lambda p: (p[1] - p[0], -abs(p[0] + p[1] - 10)))
-    flag = (gap[0] + gap[1]) / 2 if gap[1] - gap[0] > 1 else 5.0
-    return {"names": names, "weights": {s: float(model.w[i]) for s, i in index.items() if abs(model.w[i]) > 1e-4}, "model": model, "flag": flag}
+    gap = gap if gap[1] - gap[0] > 1 else (4, 6)
+    return {"names": names, "weights": {s: float(model.w[i]) for s, i in index.items() if abs(model.w[i]) > 1e-4}, "model": model, "gap": gap}
 
 
 def _scorer(model: dict):
@@ -156,6 +157,17 @@ def _scorer(model: dict):
     return F.pandas_udf(run, "double")
 
 
+def valley(severities: DataFrame, low: float, high: float) -> float:
+    """The severity between ``low`` and ``high`` around which fewest rows lie, counted over all rows in tenths; of ties
+    the middle one. Messages with few known sequences draw expected grades together, so the place depends on the data."""
+    tenth = F.round(F.col("severity") * 10).cast("int")
+    n = {r[0]: r[1] for r in severities.where(F.col("severity").between(low, high)).groupBy(tenth).count().collect()}
+    at = range(round(low * 10) + 3, round(high * 10) - 2)
+    near = {t: sum(n.get(t + d, 0) for d in (-2, -1, 0, 1, 2)) for t in at}
+    least = [t for t in at if near[t] == min(near.values())]
+    return least[len(least) // 2] / 10
+
+
 def scored(df: DataFrame, labelled: DataFrame, text: str = "content") -> DataFrame:
     """``df`` with severity (the expected grade, 0 to 10) and flagged.
 
@@ -166,12 +178,19 @@ def scored(df: DataFrame, labelled: DataFrame, text: str = "content") -> DataFra
     if model is None:
         return df.withColumn("severity", F.lit(None).cast("double")).withColumn("flagged", F.lit(False))
     severity = F.when(F.col(text).isNotNull(), _scorer(model)(F.coalesce(text, F.lit(""))))
-    return df.withColumn("severity", severity).withColumn("flagged", F.coalesce(F.col("severity") >= model["flag"], F.lit(False)))
+    out = stage(df.withColumn("severity", severity), "severity")
+    return out.withColumn("flagged", F.coalesce(F.col("severity") >= valley(out, *model["gap"]), F.lit(False)))
+
+
+def annotated(sft: DataFrame, dpo: DataFrame) -> DataFrame:
+    """(content, CoT_score): the messages with grades of both training tables; a completion holds its message's grade."""
+    message = F.regexp_replace(F.regexp_replace("prompt", r"(?s)^\s*Message ?:\s*", ""), r"(?s)\s*Analyse ?:\s*$", "")
+    return sft.select("content", "CoT_score").union(dpo.select(message, F.regexp_extract("completion", r"Note ?: ?\d{1,2} ?/ ?10", 0)))
 
 
 def _scored(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/anonymous_forum_prioritized.parquet").select("msg_id", "topic", "content")
-    return scored(df, spark.read.parquet(f"{sf_dir}/sft_rows.parquet"))
+    return scored(df, annotated(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sft_rows", "dpo_formatted"))))
 
 
 def p3_found(spark, sf_dir):
