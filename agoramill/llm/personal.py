@@ -60,13 +60,14 @@ def _any(names: list[str]) -> str:
 
 _FIRST = _any(FEMALE + MALE)
 _LOWER_FIRST = _any([n for n in FEMALE + MALE if n not in WORDS])
+_WORD_FIRST = _any(sorted(WORDS))
 _NOT_STOP = "(?!(?iu:" + "|".join(sorted(STOP, key=len, reverse=True)) + r")(?![\p{L}\p{M}]))"
 _L, _LU, _LL = r"[\p{L}\p{M}]", r"\p{Lu}\p{M}?", r"\p{Ll}\p{M}?"
 _PARTICLE = r"(?:(?iu:de la|du|des|de|le|la|el|ben|van|von)[ ]|(?iu:d)['’])?"
 _NEAR = r"(?:(?iu:du|des|de)[ ]|(?iu:d)['’])?"
 _FAMILY = rf"{_NOT_STOP}{_LU}{_L}+(?:['’\-]{_L}+)*"
 _LOWER_FAMILY = rf"{_NOT_STOP}{_LL}{_L}{{2,}}(?:['’\-]{_L}+)*"
-_EDGE, _END = r"(?<![\p{L}\p{M}\p{N}_@])", r"(?![\p{L}\p{M}\p{N}_@])"
+_EDGE, _END = r"(?<![\p{L}\p{M}\p{N}_@\-])", r"(?![\p{L}\p{M}\p{N}_@])"
 _AT = r"(?:[ ]?@[ ]?|[ ]?[(\[][ ]?(?:arobase|at)[ ]?[)\]][ ]?|[ ]arobase[ ])"
 _DOT = r"(?:\.|[ ]\.[ ]|[ ]?[(\[](?:point|dot)[)\]][ ]?|[ ]point[ ])"
 _GAP = r"[ .\-/\u00a0\u202f\u2009]"
@@ -91,18 +92,18 @@ PATTERNS = [
         rf"|(?:\+|00)(?!33)[1-9]\d{{0,2}}{_GAP}?(?:\(\d{{1,4}}\){_GAP}?)?\d(?:{_GAP}?\d){{5,11}}"
         r"|z[eé]ro[ \-](?:un|deux|trois|quatre|cinq|six|sept|huit|neuf)(?:[ .\-]?\d\d){4})(?![\p{L}\p{N}]|[.\-]\d)",
     ),
-    ("address", "[0-9]", rf"(?iu)(?=[0-9])(?<![\p{{L}}\p{{N}}\-])\d{{1,4}}[ ]?(?:bis|ter|quater|[a-d])?(?:[ ]?,[ ]?|[ ]){_STREET}[ ](?:(?:de|du|des|de la|de l['’]|d['’]|la|le|les|l['’])[ ]?)*(?!restant|assis|libre|dispo)\p{{L}}[\p{{L}}\p{{M}}'’\-]+(?:[ ]\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+)*(?:[ ]?[,\-–][ ]?|[ ])?(?:\d{{5}}[ ](?:\p{{Lu}}|\p{{Ll}})[\p{{L}}\p{{M}}'’\-]+)?"),
+    ("address", "[0-9]", rf"(?iu)(?=[0-9])(?<![\p{{L}}\p{{N}}\-])\d{{1,4}}[ ]?(?:bis|ter|quater|[a-d])?(?:[ ]?,[ ]?|[ ]){_STREET}[ ](?:(?:de|du|des|de la|de l['’]|d['’]|la|le|les|l['’])[ ]?)*(?!restant|assis|libre|dispo)\p{{L}}[\p{{L}}\p{{M}}'’\-]+(?:[ ](?-i:\p{{Lu}})[\p{{L}}\p{{M}}'’\-]+)*(?:[ ]?[,\-–][ ]?|[ ])?(?:\d{{5}}[ ](?:\p{{Lu}}|\p{{Ll}})[\p{{L}}\p{{M}}'’\-]+)?"),
 ]
-_TITLE = r"(?:M\.|Mr\.?|Mme\.?|Mlle\.?|Monsieur|Madame|Mademoiselle|Dr\.?|Docteur|Me|Ma[iî]tre|Pr\.?|Professeur|MONSIEUR|MADAME|MME|MLLE|MR)"
+_TITLE = r"(?:M\.|Mr\.?|Mme\.?|Mlle\.?|Monsieur|Madame|Mademoiselle|Dr\.?|Docteur|(?<!\p{Lu}\p{Ll}{0,14}[ ])Me|Ma[iî]tre|Pr\.?|Professeur|MONSIEUR|MADAME|MME|MLLE|MR)"
 _LOWER_TITLE = r"(?:m\.|mr\.?|mme\.?|mlle\.?|monsieur|madame|mademoiselle)"
 
 
 def _name(gap: str) -> str:
-    first, lower = rf"(?=\p{{Lu}})(?iu:{_FIRST}(?:-{_FIRST})?)", rf"(?=\p{{Ll}})(?iu:{_LOWER_FIRST}(?:-{_LOWER_FIRST})?)"
+    first, lower = rf"(?:(?=\p{{Lu}})(?iu:{_LOWER_FIRST}(?:-{_FIRST})?)|(?=\p{{Lu}}\p{{Ll}})(?iu:{_WORD_FIRST}(?:-{_FIRST})?))", rf"(?=\p{{Ll}})(?iu:{_LOWER_FIRST}(?:-{_LOWER_FIRST})?)"
     return (
         r"(?=\p{L})" + f"{_EDGE}(?:{_TITLE}[ ](?:{first}[ ])?{_PARTICLE}{_FAMILY}|{_LOWER_TITLE}[ ](?:(?:{lower}[ ])?{_NEAR}{_LOWER_FAMILY}|(?:{first}[ ])?{_PARTICLE}{_FAMILY})"
         + (f"|{first}[._\\-]{_PARTICLE}{_LOWER_FAMILY}" if "_" in gap else "")
-        + f"|{first}{gap}{_PARTICLE}{_FAMILY}|{lower}{gap}{_PARTICLE}{_LOWER_FAMILY}|{_NOT_STOP}\\p{{Lu}}{{3,}}(?:[-'’]\\p{{Lu}}+)*{gap}(?=\\p{{Lu}}\\p{{Ll}}|\\p{{Lu}}-\\p{{Lu}})(?iu:{_FIRST}(?:-{_FIRST})?)){_END}"
+        + f"|{first}{gap}{_PARTICLE}{_FAMILY}|{lower}{gap}{_NEAR}{_LOWER_FAMILY}|{_NOT_STOP}\\p{{Lu}}{{3,}}(?:[-'’]\\p{{Lu}}+)*{gap}(?=\\p{{Lu}}\\p{{Ll}}|\\p{{Lu}}-\\p{{Lu}})(?iu:{_FIRST}(?:-{_FIRST})?)){_END}"
     )
 
 

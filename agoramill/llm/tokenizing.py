@@ -109,9 +109,10 @@ def heap_ids(word: bytes, table: dict[bytes, int]) -> list[int]:
     return [table[p] for p in piece if p is not None]
 
 
-def _long_ids(path: str):
+def _long_ids(table: dict[bytes, int]):
+    """Travels with its table, so executors need no vocabulary file."""
+
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = ranks(path)
         for s in parts:
             yield s.map(lambda w: heap_ids(w.encode(), table))
 
@@ -129,7 +130,7 @@ def dictionary(df: DataFrame, text: str = "text", path: str | None = None) -> Da
     counted = df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = stage(counted, "words")
     short = counted.where(F.octet_length("word") <= LONG).withColumn("ids", merged_ids(F.col("word"), path))
-    long = counted.where(F.octet_length("word") > LONG).withColumn("ids", _long_ids(path)("word"))
+    long = counted.where(F.octet_length("word") > LONG).withColumn("ids", _long_ids(ranks(path))("word"))
     return stage(short.unionByName(long), "dictionary")
 
 

@@ -112,8 +112,9 @@ def test_abuse_held_out(spark):
     got = abuse.scored(test, train).collect()
     assert sum(r.flagged == r.bad for r in got) / len(got) > 0.97
     assert all(0 <= r.severity <= 10 for r in got)
-    edge = spark.createDataFrame([(None, "severity"), ("", "x"), ("mot " * 20000, "x"), ("casse t0i de ce f0rum", "x"), ("« casse toi de ce forum » n'est pas un argument", "x")], "content string, other string")
-    out = abuse.scored(edge, train).collect()
+    texts = [None, "", "mot " * 20000, "casse t0i de ce f0rum", "« casse toi de ce forum » n'est pas un argument"]
+    edge = spark.createDataFrame(list(enumerate(texts)), "t int, content string")
+    out = sorted(abuse.scored(edge, train).collect(), key=lambda r: r.t)
     assert out[0].severity is None and not out[0].flagged and not out[1].flagged and out[3].severity > out[4].severity and not out[4].flagged
     none = abuse.scored(edge, train.limit(0)).collect()
     assert all(r.severity is None and not r.flagged for r in none) and abuse.scored(edge.limit(0), train).count() == 0
