@@ -1,3 +1,10 @@
 """agoramill: a Spark-native engine for preparing, annotating and evaluating forum corpora."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their module, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
