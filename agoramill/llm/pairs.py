@@ -71,24 +71,29 @@ def _hits(words: Column, lang: str) -> Column:
 
 
 def ruled(df: DataFrame) -> DataFrame:
-    """``df`` with its body and the defect that needs no other answer (empty, copy, refusal, language), else null."""
-    b = F.col("body")
-    plain = F.trim(F.regexp_replace(fold(b), r"[^\p{L}\p{N}]+", " "))
-    own = _letters(F.regexp_replace(b, _HEADING, ""))
-    short = F.col("field_name") == "literal_conclusion_annotator"
-    empty = b.isNull() | ~b.rlike(r"[\p{L}\p{N}]") | plain.isin(_PLACEHOLDERS) | plain.rlike("^n a$") | (~short & plain.rlike(r"^(?:conclusion )?(?:oui|non)$"))
-    q = [F.coalesce(_letters(F.col(c)), F.lit("")) for c in ("q1", "q2")]
-    long_copy = (F.length(own) >= 20) & F.array_contains(F.transform(F.array(*q), lambda x: x.contains(own)), True)
-    full = F.array(*q, _letters(F.concat_ws(" ", "q1", F.lit("Analyse"))), F.lit("cemessageestiltoxique"), F.lit("lemessageestiltoxique"), F.lit("aufinalcemessageestiltoxique"))
-    copy = (own != "") & (long_copy | F.array_contains(full, own) | F.array_contains(full, F.regexp_replace(own, "analyse$", "")))
-    flat = F.regexp_replace(fold(b), r"[^\p{L}\p{N},.;:!?]+", " ")
-    refusal = (F.length(b) < 400) & flat.rlike(_REFUSAL)
-    words = F.split(F.regexp_replace(fold(b), r"[^\p{L}]+", " "), " ")
-    fr = _hits(words, "fr")
-    other = F.greatest(*[_hits(words, x) for x in _WORDS if x != "fr"])
-    language = F.when(short, plain.isin(_FOREIGN_ANSWERS) | ((other >= 2) & (other > fr))).otherwise(((other >= 2) & (other > fr) & (fr * 3 <= F.size(words))) | ~b.rlike(r"[\p{IsLatin}\p{N}]"))
-    defect = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(language, "language").when(short & ~plain.isin(_ANSWERS) & F.array_contains(F.transform(F.array(*map(F.lit, _ANSWERS)), lambda a: a.startswith(plain)), True), "truncated")
-    return df.withColumn("body", body(F.col("answer"), F.col("field_name"))).withColumn("defect", defect)
+    """``df`` with its body and the defect that needs no other answer (empty, copy, refusal, language), else null.
+
+    Every intermediate is a column of its own, so that it is computed once.
+    """
+    b, short = F.col("body"), F.col("field_name") == "literal_conclusion_annotator"
+    x = df.withColumn("body", body(F.col("answer"), F.col("field_name"))).withColumn("__folded", fold(b))
+    folded = F.col("__folded")
+    x = x.withColumn("__plain", F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))).withColumn("__own", _letters(F.regexp_replace(b, _HEADING, "")))
+    x = x.withColumn("__q1", F.coalesce(_letters(F.col("q1")), F.lit(""))).withColumn("__q2", F.coalesce(_letters(F.col("q2")), F.lit("")))
+    x = x.withColumn("__words", F.split("__plain", " ")).withColumn("__fr", _hits(F.col("__words"), "fr")).withColumn("__other", F.greatest(*[_hits(F.col("__words"), k) for k in _WORDS if k != "fr"]))
+    plain, own, q1, q2, words, fr, other = (F.col(f"__{k}") for k in ("plain", "own", "q1", "q2", "words", "fr", "other"))
+
+    empty = b.isNull() | ~b.rlike(r"[\p{L}\p{N}]") | plain.isin(_PLACEHOLDERS) | (plain == "n a") | (~short & plain.rlike(r"^(?:conclusion )?(?:oui|non)$"))
+    long_copy = (F.length(own) >= 20) & (q1.contains(own) | q2.contains(own))
+    bare = F.regexp_replace(own, "analyse$", "")
+    same = lambda c: (c == q1) | (c == q2) | c.isin("cemessageestiltoxique", "lemessageestiltoxique", "aufinalcemessageestiltoxique")
+    copy = (own != "") & (long_copy | same(own) | same(bare))
+    refusal = (F.length(b) < 400) & F.regexp_replace(folded, r"[^\p{L}\p{N},.;:!?]+", " ").rlike(_REFUSAL)
+    foreign = (other >= 2) & (other > fr)
+    language = F.when(short, plain.isin(_FOREIGN_ANSWERS) | foreign).otherwise((foreign & (fr * 3 <= F.size(words))) | ~b.rlike(r"[\p{IsLatin}\p{N}]"))
+    begun = plain.isin([a[:k] for a in _ANSWERS for k in range(1, len(a))])
+    defect = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(language, "language").when(short & begun, "truncated")
+    return x.withColumn("defect", defect).drop(*[c for c in x.columns if c.startswith("__")])
 
 
 def _masked(tokens: list[str]) -> list[str]:
