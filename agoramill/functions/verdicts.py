@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -115,3 +116,11 @@ def filled(template: str, text: Column) -> Column:
 
 def fewshot_block(text: Column, answer: Column) -> Column:
     return joined(["Message :\n« ", text, f" »\n{QUESTIONS['fr']}\n", answer])
+
+
+def fewshot_prompt(template: str, toxic: Sequence[str], calm: Sequence[str], seed: int = 42) -> str:
+    """The template with the examples, in a seeded order and separated by blank lines, at <insert here>. Examples are a
+    handful of texts of the experiment's configuration, so this runs on the driver."""
+    blocks = [f"Message :\n« {t} »\n{QUESTIONS['fr']}\n{a}" for a, ts in zip(("toxique", "non-toxique"), (toxic, calm)) for t in ts]
+    random.Random(seed).shuffle(blocks)
+    return template.replace("<insert here>", "\n\n".join(blocks))

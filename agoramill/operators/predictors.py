@@ -81,3 +81,15 @@ class Rehearsal:
 
 def labelled(outputs: DataFrame, name: str) -> DataFrame:
     return outputs.withColumn("label", RULES[name](F.col("raw")))
+
+
+def run_and_append(truth: DataFrame, predictor: Predictor, name: str, path: str, key: str = "content", **kw) -> DataFrame:
+    """Predict the texts that the Parquet table at ``path`` lacks and append them; each finished task's rows land with
+    the job. Returns the whole table. Texts are asked for once, however often they occur."""
+    spark = truth.sparkSession
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    todo = pending(truth, known, key).select(key).distinct()
+    labelled(predicted(todo, predictor, key, **kw), name).select(key, F.col("label").cast("string").alias("label")).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -105,3 +105,19 @@ def test_predictors(spark):
     truth = spark.createDataFrame([("a", 1), ("b", None), ("c", 0)], "content string, label int")
     assert [r.content for r in predictors.pending(truth, df).collect()] == ["c"]
     assert len(predictors.RULES) == 19
+
+
+def test_runner_resumes(spark, tmp_path):
+    truth = spark.createDataFrame([("aaa", 1), ("aaa", 1), ("bb", 0)], "content string, label int")
+    path = str(tmp_path / "predictions")
+    assert predictors.run_and_append(truth.where("content = 'bb'"), predictors.Rehearsal(), "ToxiFrenchPredictor", path).count() == 1
+    out = predictors.run_and_append(truth, predictors.Rehearsal(), "ToxiFrenchPredictor", path)
+    assert {r.content: r.label for r in out.collect()} == {"aaa": "1", "bb": "0"} and out.count() == 2
+
+
+def test_fewshot_prompt():
+    from agoramill.functions.verdicts import fewshot_prompt
+
+    p = fewshot_prompt("Exemples :\n<insert here>\nFin", ["a"], ["b"], seed=1)
+    assert p.count("Ce message est-il toxique ?") == 2 and "« a »\nCe message est-il toxique ?\ntoxique" in p and p.endswith("\nFin")
+    assert p == fewshot_prompt("Exemples :\n<insert here>\nFin", ["a"], ["b"], seed=1)
