@@ -38,7 +38,7 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "DistilBertPredictor": lambda x: (v.sigmoid(x[0]) > 0.5).cast("int"),
     "PolyGuardPredictor": v.argmax,
     "ToxicBertPredictor": lambda x: (v.sigmoid(x[0]) > 0.5).cast("int"),
-    "ToxiFrenchPredictor": v.by_pattern,
+    "FineTunedPredictor": v.by_pattern,
     "FrenchToxicityClassifierPredictor": lambda c: (c == "toxic").cast("int"),
     "EncoderPredictor": lambda x: v.argmax(v.softmax(x)),
 }

@@ -545,7 +545,7 @@ def resume_predictions(spark, sf_dir):
 def rehearsed_predictions(spark, sf_dir):
     """The runner with a stand-in model and a decision rule."""
     df = table(spark, sf_dir, "sft_rows").where("split = 'test' AND content IS NOT NULL")
-    return predictors.labelled(predictors.predicted(df, predictors.Rehearsal()), "ToxiFrenchPredictor").select("content", "label")
+    return predictors.labelled(predictors.predicted(df, predictors.Rehearsal()), "FineTunedPredictor").select("content", "label")
 
 
 # -- grouped counts of the remaining tables

@@ -101,7 +101,7 @@ def test_predictors(spark):
 
     df = spark.createDataFrame([("a",), ("b",), (None,)], "content string").coalesce(1)
     out = predictors.predicted(df, Stubborn(), resolved=lambda x: "im_end" in x)
-    assert [r.label for r in predictors.labelled(out, "ToxiFrenchPredictor").collect()] == [1, 1, 1]
+    assert [r.label for r in predictors.labelled(out, "FineTunedPredictor").collect()] == [1, 1, 1]
     truth = spark.createDataFrame([("a", 1), ("b", None), ("c", 0)], "content string, label int")
     assert [r.content for r in predictors.pending(truth, df).collect()] == ["c"]
     assert len(predictors.RULES) == 19
@@ -110,8 +110,8 @@ def test_predictors(spark):
 def test_runner_resumes(spark, tmp_path):
     truth = spark.createDataFrame([("aaa", 1), ("aaa", 1), ("bb", 0)], "content string, label int")
     path = str(tmp_path / "predictions")
-    assert predictors.run_and_append(truth.where("content = 'bb'"), predictors.Rehearsal(), "ToxiFrenchPredictor", path).count() == 1
-    out = predictors.run_and_append(truth, predictors.Rehearsal(), "ToxiFrenchPredictor", path)
+    assert predictors.run_and_append(truth.where("content = 'bb'"), predictors.Rehearsal(), "FineTunedPredictor", path).count() == 1
+    out = predictors.run_and_append(truth, predictors.Rehearsal(), "FineTunedPredictor", path)
     assert {r.content: r.label for r in out.collect()} == {"aaa": "1", "bb": "0"} and out.count() == 2
 
 
