@@ -9,6 +9,7 @@ quoted or meant literally, the sequences around it are. Quoted and reported word
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from agoramill.llm.capping import account
 from agoramill.runtime import stage
 
 #: Bounds of the labelled sample and of the model, documented parameters.
-SAMPLE, FEATURES = 20_000, 200_000
+SAMPLE, FEATURES = 10_000, 200_000
 # Signs that stand for letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορν", "aeopcyxijsdhABEZHIKMNOPTYXaopv")
 _LEET = str.maketrans("0134578@$€!|", "oieastbasei" + "l")
@@ -78,7 +79,7 @@ def proper(texts: list[str]) -> frozenset[str]:
 class Ordinal:
     """P(grade <= k) = sigmoid(theta_k - w x), theta increasing; the weights are shared by all thresholds."""
 
-    def __init__(self, grades: list[int], l2: float = 7e-4, rounds: int = 300, rate: float = 0.15):
+    def __init__(self, grades: list[int], l2: float = 7e-4, rounds: int = 100, rate: float = 0.15):
         self.grades, self.l2, self.rounds, self.rate = grades, l2, rounds, rate
 
     def fit(self, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n: int, d: int) -> Ordinal:
@@ -112,14 +113,13 @@ class Ordinal:
 
 
 def _design(texts: list[str], names: frozenset[str], index: dict[str, int]):
-    rows, cols = [], []
+    """Rows and columns of the known sequences, in compact arrays: the texts are cut again rather than kept as sets."""
+    rows, cols = array("i"), array("i")
     for i, t in enumerate(texts):
-        for s in sequences(tokens(t, names)):
-            j = index.get(s)
-            if j is not None:
-                rows.append(i)
-                cols.append(j)
-    return np.array(rows, int), np.array(cols, int)
+        known = [index[s] for s in sequences(tokens(t, names)) if s in index]
+        rows.extend([i] * len(known))
+        cols.extend(known)
+    return np.frombuffer(rows, np.int32) if rows else np.zeros(0, np.int32), np.frombuffer(cols, np.int32) if cols else np.zeros(0, np.int32)
 
 
 def fitted(labelled: DataFrame, text: str = "content", grade: str = "CoT_score", bound: int = SAMPLE) -> dict | None:
@@ -137,6 +137,7 @@ def fitted(labelled: DataFrame, text: str = "content", grade: str = "CoT_score",
     names = proper(texts)
     counts = Counter(s for t in texts for s in sequences(tokens(t, names)))
     kept = [s for s, c in counts.most_common(FEATURES) if c >= 2]
+    del counts
     index = {s: i for i, s in enumerate(sorted(kept))}
     grades = sorted(map(int, pdf["g"].unique()))
     y = pdf["g"].map({v: i for i, v in enumerate(grades)}).to_numpy()
