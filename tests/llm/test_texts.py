@@ -120,6 +120,21 @@ def test_abuse_held_out(spark):
     assert all(r.severity is None and not r.flagged for r in none) and abuse.scored(edge.limit(0), train).count() == 0
 
 
+def test_abuse_learns_from_twenty_thousand_texts(spark, monkeypatch):
+    seen = []
+    fit = abuse.Ordinal.fit
+
+    def short(self, rows, cols, y, n, d):
+        seen.append((n, self.rounds))
+        self.rounds = 2
+        return fit(self, rows, cols, y, n, d)
+
+    monkeypatch.setattr(abuse.Ordinal, "fit", short)
+    many = spark.range(21_000).select(F.concat(F.lit("message "), "id").alias("content"), F.concat(F.lit("Note : "), F.col("id") % 10, F.lit("/10")).alias("CoT_score"))
+    abuse.fitted(many)
+    assert seen == [(20_000, 300)]
+
+
 @pytest.mark.parametrize("raw,want", [("c.o.n.n.u", "connu"), ("f0rum", "forum"), ("grrrrros", "gros"), ("sаlut", "salut"), ("été 2024", "ete 2024")])
 def test_restored(raw, want):
     assert abuse.restored(raw) == want
