@@ -79,7 +79,7 @@ PATTERNS = [
     ("email", lambda t: t.contains("@") | t.contains("robase") | t.contains("ROBASE") | t.rlike(r"[\[(][ ]?[aA][tT]"), rf"(?iu)(?:mailto:)?(?<![\p{{L}}\p{{N}}._%+\-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+\-]*{_AT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?(?:{_DOT}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}\-]*[\p{{L}}\p{{N}}])?)*{_DOT}\p{{L}}{{2,12}}(?![\p{{L}}\p{{N}}])"),
     (
         "identity_number",
-        r"(?i)[0-9](?:[^0-9A-Za-z]?[0-9]){8}|[0-9]{2} ?[A-Za-z]{2} ?[0-9]{5}|cni|identit",
+        r"(?iu)[0-9](?:[^0-9a-z]?[0-9]){8}|[0-9][^0-9a-z]?2[ab][^0-9a-z]?[0-9]|[0-9]{2} ?[a-z]{2} ?[0-9]{5}|cni|c\.n\.i|identit",
         r"(?iu)(?=[\p{L}0-9])(?<![\p{L}\p{N}\-])(?:[12]" + _SP + r"\d{2}" + _SP + r"(?:0[1-9]|1[0-2]|[2-9]\d)" + _SP + r"(?:\d{2}|2[ab])" + _SP + r"\d{3}" + _SP + r"\d{3}" + f"(?:{_SP}|/)" + r"\d{2}(?![\p{L}\p{N}]|-\d)"
         r"|(?:n(?:um[eé]ro|°|o|um)?\s*(?:de\s*)?)?(?:s[eé]cu(?:rit[eé] sociale)?|nir|assur[eé](?:e)?|immatriculation)(?![\p{L}\p{M}])[^\d\n]{0,20}[12](?:" + _SP + r"\d){12}(?:(?:" + _SP + r"\d){2})?(?!\d)"
         r"|(?:carte (?:nationale )?d['’ ]identit[eé]|cni|c\.n\.i\.?|pi[eè]ce d['’ ]identit[eé])[^\d\n]{0,20}(?:\d{12}|\d(?:[ ]?\d){11}|[a-z0-9]{9})(?![\p{L}\p{N}])"

@@ -49,6 +49,17 @@ def test_detected(spark):
     assert len(got) == len({tuple(r) for r in got}) and personal.detected(df.limit(0)).count() == 0
 
 
+def test_sign_of_identity_numbers_is_implied(spark):
+    spell = lambda sep, dep, last: sep.join(["1", "85", "03", dep, "004", "123"]) + last + "45"
+    texts = [spell(s, d, e) for s in (" ", ".", "-", "", "\u00a0") for d in ("59", "2A", "2b", "2B") for e in (s, "/")]
+    texts += ["285122B12345678", "C.N.I. AB12CD34E", "c.n.i 901655523684", "CNI AB12CD34E", "carte d'identité AB12CD34E", "pièce d’identite 9016 5552 3684", "numéro de sécu 1 85 05 99 994 358", "NIR : 1850599994358", "passeport 83 FS 79339", "83fs79339"]
+    _, sign, pattern = next(p for p in personal.PATTERNS if p[0] == "identity_number")
+    df = spark.createDataFrame([(f"m{i:02d}", t, None) for i, t in enumerate(texts)], "msg_id string, content string, user string")
+    assert df.where(F.col("content").rlike(pattern)).count() == len(texts) == df.where(F.col("content").rlike(sign)).count()
+    assert personal.detected(df).where("pii_type = 'identity_number'").count() == len(texts)
+    assert personal.replaced(df).where(F.col("content").contains("[identity_number:")).count() == len(texts)
+
+
 def test_replaced(spark):
     rows = [("1", "Solène Dupré et SOLÈNE DUPRÉ, tel 06 12 34 56 78", "solene.dupre@a.fr"), ("1", "Solène Dupré et SOLÈNE DUPRÉ, tel 06 12 34 56 78", "solene.dupre@a.fr"), ("2", "rien à voir", None), ("3", None, ""), ("4", "M. Lang et Mme Lang", "x")]
     df = spark.createDataFrame(rows, "msg_id string, content string, user string")
