@@ -130,3 +130,14 @@ def test_overlap_is_brute_force(spark, threshold):
                 want.add((a, b))
     assert {(r.train_id, r.other_id) for r in overlap.pairs(df, threshold=threshold).collect()} == want
     assert {(203, 202), (206, 205)} <= want and overlap.pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1500, 6000])
+def test_overlap_finds_typos_at_any_size(spark, size):
+    r = random.Random(2)
+    say = lambda: " ".join(f"k{k} v{k}x{r.randrange(30)}" for k in range(8)) + " fin"
+    copied = say().split()
+    typos = [w + "e" if i in (5, 11) else w for i, w in enumerate(copied)]
+    rows = [(i, r.choice(["train", "test"]), say()) for i in range(size)] + [(9000, "train", " ".join(copied)), (9001, "test", " ".join(typos))]
+    df = spark.createDataFrame(rows, "row_id long, split string, content string")
+    assert overlap.pairs(df).where("train_id = 9000 AND other_id = 9001").count() == 1
