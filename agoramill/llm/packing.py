@@ -1,51 +1,63 @@
 """Problem 9: fill containers of fixed capacity with the texts of a corpus, measured in tokens.
 
-Method: non-negative least squares. Combinations of up to three lengths that fill a window below the capacity are
-enumerated from the histogram of lengths; the repeat counts of these patterns are solved against the histogram, rounded
-down, and what is left of the histogram is packed greedily (best fit, longest first). All of that handles only counts:
-the histogram has at most ``capacity`` rows, whatever the corpus. Documents then take the places of their length by
-their exact rank in a global order.
+Method: non-negative least squares. Combinations of lengths that fill a window below the capacity are enumerated from the
+histogram of lengths, as deep as the lengths demand: every draw of lengths is closed at each depth by the longest that
+still fits. The repeat counts of these patterns are solved against the histogram and rounded to the nearest, the largest
+first, up to the solved total; what is left of the histogram is solved again while that places enough, and the residuals
+are packed greedily (best fit, longest first). All of that handles only counts: the histogram has at most ``capacity``
+rows and a round at most ``PATTERNS`` patterns, whatever the corpus; the bound shapes the fill and drops no item.
+Documents then take the places of their length by their exact rank in a global order.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agoramill.llm.tokenizing import encoded
+from agoramill.llm.tokenizing import token_counts
 from agoramill.runtime import stage
 
 CAPACITY = 2048
+#: Patterns of a round, its draws, and the number of rounds, documented parameters.
+PATTERNS, DRAWS, ROUNDS = 20_000, 6_000, 12
 
 
-def combinations(lengths: list[int], counts: dict[int, int], capacity: int, window: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Multisets of one to three lengths with a sum in [capacity - window, capacity]; the fullest ``most``.
+def combinations(counts: dict[int, int], capacity: int, window: int, seed: int = 0) -> list[tuple[int, ...]]:
+    """Multisets of lengths with a sum in [capacity - window, capacity], none with more of a length than there are.
 
-    For every pair the third length is the longest that still fits, so the number of candidates is quadratic in the
-    number of distinct lengths; of many lengths the pairs are taken over an even grid of lengths.
+    Lengths are drawn in proportion to their counts; each draw is closed at every depth, if a length lies in the window
+    of the room that is left. Fullest patterns first, at most ``PATTERNS``.
     """
-    ls = sorted(lengths)
-    grid = ls if len(ls) <= 400 else [ls[i * (len(ls) - 1) // 399] for i in range(400)]
-    found = {(a,) for a in ls if capacity - window <= a <= capacity}
-    for i, a in enumerate(grid):
-        j = bisect.bisect_right(ls, capacity - a) - 1
-        if j >= 0 and a + ls[j] >= capacity - window and (a != ls[j] or counts[a] >= 2):
-            found.add(tuple(sorted((a, ls[j]), reverse=True)))
-        for b in grid[i:]:
-            if a + b >= capacity:
-                break
-            j = bisect.bisect_right(ls, capacity - a - b) - 1
-            if j >= 0 and a + b + ls[j] >= capacity - window:
-                c = tuple(sorted((a, b, ls[j]), reverse=True))
-                if all(counts[x] >= c.count(x) for x in c):
-                    found.add(c)
-    return sorted(found, key=lambda c: (-sum(c), -counts[min(c, key=lambda x: counts[x])], c))[:most]
-
-
-def repeats(patterns: list[tuple[int, ...]], counts: dict[int, int], rounds: int = 400) -> np.ndarray:
+    lengths = np.array(sorted(counts))
+    if not len(lengths):
+        return []
+    weight = np.array([counts[v] for v in lengths], float)
+    upto = np.concatenate([[0.0], np.cumsum(weight)])
+    r = np.random.default_rng(seed)
+    found: set[tuple[int, ...]] = {(int(v),) for v in lengths if capacity - window <= v <= capacity}
+    room = np.full(DRAWS, capacity)
+    drawn: list[np.ndarray] = []
+    alive = np.arange(DRAWS)
+    while len(alive) and len(found) < PATTERNS:
+        fits = np.searchsorted(lengths, room[alive], side="right")
+        alive = alive[fits > 0]
+        fits = fits[fits > 0]
+        closing = lengths[fits - 1]
+        for i in np.flatnonzero(room[alive] - closing <= window):
+            found.add(tuple(sorted((*(int(d[alive[i]]) for d in drawn), int(closing[i])), reverse=True)))
+        pick = lengths[np.minimum(np.searchsorted(upto, r.random(len(alive)) * upto[fits], side="right") - 1, fits - 1)]
+        step = np.zeros(DRAWS, int)
+        step[alive] = pick
+        drawn.append(step)
+        room[alive] -= pick
+        alive = alive[room[alive] >= lengths[0]]
+    possible = [c for c in found if all(counts[v] >= c.count(v) for v in set(c))]
+    return sorted(possible, key=lambda c: (-sum(c), c))[:PATTERNS]
+
+
+def repeats(patterns: list[tuple[int, ...]], counts: dict[int, int], rounds: int = 300) -> np.ndarray:
     """x >= 0 that brings the patterns' lengths close to the histogram: multiplicative updates of the least squares."""
     if not patterns:
         return np.zeros(0)
@@ -61,20 +73,37 @@ def repeats(patterns: list[tuple[int, ...]], counts: dict[int, int], rounds: int
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, number of containers) that place every item of the histogram (length to count, lengths <= capacity)."""
-    left = {v: int(n) for v, n in histogram.items() if n > 0 and v > 0}
+def solved(left: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
+    """(pattern to repeats) of the rounded solutions; ``left`` keeps what they don't place."""
     out: dict[tuple[int, ...], int] = {}
-    for window in (0, max(1, capacity // 256), max(1, capacity // 64)):
-        patterns = combinations(list(left), left, capacity, window)
-        for p, x in sorted(zip(patterns, repeats(patterns, left)), key=lambda t: (-sum(t[0]), -t[1], t[0])):
-            n = min(int(x), *(left.get(v, 0) // p.count(v) for v in p))
+    for k in range(ROUNDS):
+        items = sum(left.values())
+        window = (0, 0, 1, 2)[k] if k < 4 else max(2, capacity // 256)
+        patterns = combinations(left, capacity, min(window, capacity // 64), k)
+        x = repeats(patterns, left)
+        budget = round(float(x.sum()))
+        for j in np.argsort(-x, kind="stable"):
+            if budget <= 0:
+                break
+            p = patterns[j]
+            n = min(max(1, round(float(x[j]))), budget, *(left.get(v, 0) // p.count(v) for v in set(p)))
             if n > 0:
                 out[p] = out.get(p, 0) + n
+                budget -= n
                 for v in p:
                     left[v] -= n
-        left = {v: n for v, n in left.items() if n > 0}
-    # residuals: the longest item opens containers, the longest that fit fill them; equal containers go together
+        for v in [v for v, n in left.items() if n <= 0]:
+            del left[v]
+        if k >= 4 and items - sum(left.values()) < items * 0.02:
+            break
+    return out
+
+
+def greedy(left: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
+    """The longest item opens containers, the longest that fit fill them; equal containers go together."""
+    import bisect
+
+    out: dict[tuple[int, ...], int] = {}
     order = sorted(left)
     while order:
         top = order[-1]
@@ -97,7 +126,38 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         for v, k in use.items():
             left[v] -= n * k
         order = [v for v in order if left[v] > 0]
-    return sorted(out.items(), key=lambda t: (-sum(t[0]), t[0]))
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int, bool]]:
+    """(pattern, number of containers, whether solved) that place every item of the histogram (length to count)."""
+    left = {int(v): int(n) for v, n in histogram.items() if n > 0 and v > 0}
+    first = solved(left, capacity)
+    second = greedy({v: n for v, n in left.items() if n > 0}, capacity)
+    order = lambda t: (-sum(t[0]), t[0])
+    return [(p, n, True) for p, n in sorted(first.items(), key=order)] + [(p, n, False) for p, n in sorted(second.items(), key=order)]
+
+
+def _placed(slots: list[tuple[int, int, int, bool]]):
+    """(tokens, rank) to (container, solved): the slot (tokens, first rank, container of that rank) found by bisection."""
+    tokens, lo, base, ok = (np.array(x, np.int64) for x in zip(*slots)) if slots else (np.zeros(0, np.int64),) * 4
+    length = np.unique(tokens)
+    edges = np.searchsorted(tokens, length)
+
+    def run(t: pd.Series, r: pd.Series) -> pd.DataFrame:
+        t, r = t.to_numpy(np.int64), r.to_numpy(np.int64)
+        container, flag = np.full(len(t), -1, np.int64), np.zeros(len(t), bool)
+        for v in np.unique(t):
+            k = np.searchsorted(length, v)
+            if v <= 0 or k >= len(length) or length[k] != v:
+                continue
+            end = edges[k + 1] if k + 1 < len(edges) else len(tokens)
+            own = np.flatnonzero(t == v)
+            at = edges[k] + np.searchsorted(lo[edges[k] : end], r[own], side="right") - 1
+            container[own], flag[own] = base[at] + r[own] - lo[at], ok[at]
+        return pd.DataFrame({"container": pd.array(np.where(container >= 0, container, 0), "Int64"), "solved": flag})
+
+    return F.pandas_udf(run, "container bigint, solved boolean")
 
 
 def packed(sizes: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
@@ -107,11 +167,17 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> D
     a last part that is packed like the others. Items of size zero or null need no room: their container is null.
     Repeated rows are items of their own. Containers are numbered from 0; an empty table gives no rows.
     """
+    return _planned(sizes, capacity, key).select(key, "part", "tokens", "container")
+
+
+def _planned(sizes: DataFrame, capacity: int, key: str) -> DataFrame:
     spark = sizes.sparkSession
     n = F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint")
     full, rest = F.floor(n / capacity).cast("int"), (n % capacity).cast("int")
-    parts = F.concat(F.when(full > 0, F.transform(F.sequence(F.lit(1), full), lambda i: F.struct((i - 1).cast("int").alias("part"), F.lit(capacity).alias("tokens")))).otherwise(F.array().cast("array<struct<part:int,tokens:int>>")), F.when((rest > 0) | (full == 0), F.array(F.struct(full.alias("part"), rest.alias("tokens")))).otherwise(F.array().cast("array<struct<part:int,tokens:int>>")))
-    items = sizes.select(F.col(key), F.explode(parts).alias("x")).select(key, "x.part", "x.tokens")
+    none = F.array().cast("array<struct<part:int,tokens:int>>")
+    whole = F.when(full > 0, F.transform(F.sequence(F.lit(1), full), lambda i: F.struct((i - 1).cast("int").alias("part"), F.lit(capacity).alias("tokens")))).otherwise(none)
+    last = F.when((rest > 0) | (full == 0), F.array(F.struct(full.alias("part"), rest.alias("tokens")))).otherwise(none)
+    items = stage(sizes.select(F.col(key), F.explode(F.concat(whole, last)).alias("x")).select(key, "x.part", "x.tokens"), "sizes")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["tokens", key, "part"]
     placed = stage(items.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "items")
@@ -120,39 +186,33 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> D
     cells = placed.groupBy("p", "tokens").agg(F.count("*").alias("n"), F.min("at").alias("lo"))
     histogram = {r["tokens"]: r["n"] for r in cells.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}
     slots, base, used = [], 0, {}
-    for pattern, times in plan({v: c for v, c in histogram.items() if v > 0}, capacity):
+    for pattern, times, ok in plan(histogram, capacity):
         for v in pattern:
-            at = used.get(v, 0)
-            slots.append((v, at, at + times, base))
-            used[v] = at + times
+            slots.append((v, used.get(v, 0), base, ok))
+            used[v] = used.get(v, 0) + times
         base += times
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("n").over(Window.partitionBy("tokens").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = cells.withColumn("start", before - F.col("lo")).select("p", "tokens", "start")
     ranked = placed.join(F.broadcast(starts), ["p", "tokens"]).withColumn("rank", F.col("at") + F.col("start"))
-    # the places of a length as sorted arrays: an item finds its own by its rank
-    table = spark.createDataFrame(slots, "tokens int, lo bigint, hi bigint, base bigint").groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "base"))).alias("places"))
-    found = ranked.join(F.broadcast(table), "tokens", "left")
-    mine = F.filter("places", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))
-    container = F.when(F.col("tokens") > 0, F.try_element_at(mine, F.lit(1)))
-    return found.select(key, "part", "tokens", (container["base"] + F.col("rank") - container["lo"]).alias("container"))
+    found = ranked.withColumn("x", _placed(sorted(slots))("tokens", "rank"))
+    return found.select(key, "part", "tokens", F.when(F.col("tokens") > 0, F.col("x.container")).alias("container"), F.col("x.solved").alias("solved"))
 
 
-def _packed(spark, sf_dir):
-    ids = encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
-    return packed(ids.select("doc_id", F.size("ids").alias("tokens")))
+def _sizes(spark, sf_dir):
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
 
 
 def p9_containers(spark, sf_dir):
     """Every part of every document with its container of 2,048 tokens."""
-    return _packed(spark, sf_dir)
+    return packed(_sizes(spark, sf_dir))
 
 
 def p9_fill(spark, sf_dir):
-    """Containers, tokens, the share of room used, and the least number of containers that could hold the tokens."""
-    per = _packed(spark, sf_dir).where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("used"))
-    return per.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("max_used"), F.round(F.sum("used") / F.count("*") / CAPACITY, 6).alias("fill"), F.ceil(F.sum("used") / CAPACITY).alias("least_containers"))
+    """Containers, tokens, the share of room used, the least number of containers that could hold the tokens, and the
+    share of the items that the solved patterns place."""
+    items = _planned(_sizes(spark, sf_dir), CAPACITY, "doc_id").where("container IS NOT NULL")
+    per = items.groupBy("container").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"), F.count_if("solved").alias("s"))
+    return per.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("max_used"), F.round(F.sum("used") / F.count("*") / CAPACITY, 6).alias("fill"), F.ceil(F.sum("used") / CAPACITY).alias("least_containers"), F.round(F.sum("s") / F.sum("n"), 4).alias("solved"))
 
 
 QUERIES = {"p9_containers": p9_containers, "p9_fill": p9_fill}

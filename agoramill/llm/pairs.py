@@ -1,22 +1,18 @@
 """Problem 1: broken prompt and response pairs.
 
 Method: the sentences of all responses, with names masked, are sorted by text; a sentence without an end that is a proper
-prefix of its successor is a shortened version. Counts of word sequences at and before sentence ends, over all
-responses, tell a sentence that stops from one that only lacks its full stop, and lengths at which far more unended
-responses stop than at their neighbours (a length limit) count as evidence where the sequences are unknown. Rules for
-empty, copied, refusing and foreign responses come before.
+prefix of its successor in the order is a shortened version, and so is one at a length at which far more unended
+responses stop than around it (a length limit). Both are vetoed where the sentence also stands ended, or where its last
+words end sentences elsewhere: such a one only lacks its full stop. Sentences without a longer neighbour are compared by
+their last words alone, with the same counts. Rules for empty, copied, refusing and foreign responses come before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agoramill.functions.text import fold, strip
+from agoramill.functions.text import ACCENTED, BASE, fold, strip
 from agoramill.runtime import salted_join, stage
 
 _MARKERS = r"(?i)<\|[^|<>]{1,40}\|>|</?s>|</?think>|</?answer>|\[/?inst\]|\[(?:eos|bos|fin)\]"
@@ -43,23 +39,29 @@ _WORDS = {
     "pt": "o os as e um uma de do da em com por para sem sobre que nao se mais como seu sua",
 }
 _FOREIGN_ANSWERS = ["yes", "no", "ja", "nein", "si", "sim", "nao", "yes it is toxic", "no it is not toxic", "toxic", "not toxic", "true", "false", "giftig"]
-_UNIT = regex.compile(r"[^.!?…\n]+(?:[.!?…]+|\n|$)")
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*['’]?|\d+|[^\s\p{L}\p{M}\d]")
-_END = regex.compile(r"[.!?…][\s\"'»)\]*_]*$|[\])}»\"]\s*$")
+# A sentence with its end, what follows an end, a word or sign, and a name inside a sentence.
+_UNIT = r"[^.!?…\n]+(?:[.!?…]+|\n|$)"
+_ENDED = r"[.!?…\n][\s\"'»)\]]*$"
+_TOKEN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*['’]?|\d+|[^\s\p{L}\p{M}\d]"
+_INNER_NAME = r"(?<=[ '’])\p{Lu}[^ ]*"
+#: Bytes of the asked contexts up to which they are broadcast.
+_BROADCAST = 64 << 20
+
+
+def _letters(c: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, BASE), r"[^\p{L}\p{N}]+", "")
 
 
 def answers(sft: DataFrame, dpo: DataFrame) -> DataFrame:
-    """(row_id, field_name, answer, q1, q2): the answers of both tables in one form, with what a copy would repeat."""
-    a = sft.select(F.col("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("answer")) for f in ("CoT_explication", "literal_conclusion_annotator")])).alias("x"), F.col("content").alias("q1"), F.col("cot_final_question").alias("q2"))
+    """(row_id, field_name, answer, q1, q2): the answers of both tables in one form, with the letters of what a copy would repeat."""
+    letters = lambda c: F.coalesce(_letters(c), F.lit(""))
+    fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("answer")) for f in ("CoT_explication", "literal_conclusion_annotator")])
+    a = sft.select("row_id", letters(F.col("content")).alias("q1"), letters(F.col("cot_final_question")).alias("q2"), fields.alias("f")).select("row_id", "q1", "q2", F.explode("f").alias("x"))
     message = F.regexp_replace(F.regexp_replace("prompt", r"(?s)^\s*Message ?:\s*", ""), r"(?s)\s*Analyse ?:\s*$", "")
-    b = dpo.select("row_id", F.lit("completion").alias("field_name"), F.col("completion").alias("answer"), message.alias("q1"), F.lit(None).cast("string").alias("q2"))
+    b = dpo.select("row_id", F.lit("completion").alias("field_name"), F.col("completion").alias("answer"), letters(message).alias("q1"), F.lit("").alias("q2"))
     return a.select("row_id", "x.field_name", "x.answer", "q1", "q2").union(b).where("row_id IS NOT NULL")
 
 
-def _letters(c: Column) -> Column:
-    return F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", "")
-
-
 def body(answer: Column, field: Column) -> Column:
     """The answer without markers; of a completion, also without a closing verdict and its question."""
     bare = strip(F.regexp_replace(answer, _MARKERS, "\n"))
@@ -79,120 +81,122 @@ def ruled(df: DataFrame) -> DataFrame:
     x = df.withColumn("body", body(F.col("answer"), F.col("field_name"))).withColumn("__folded", fold(b))
     folded = F.col("__folded")
     x = x.withColumn("__plain", F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))).withColumn("__own", _letters(F.regexp_replace(b, _HEADING, "")))
-    x = x.withColumn("__q1", F.coalesce(_letters(F.col("q1")), F.lit(""))).withColumn("__q2", F.coalesce(_letters(F.col("q2")), F.lit("")))
-    x = x.withColumn("__words", F.split("__plain", " ")).withColumn("__fr", _hits(F.col("__words"), "fr")).withColumn("__other", F.greatest(*[_hits(F.col("__words"), k) for k in _WORDS if k != "fr"]))
-    plain, own, q1, q2, words, fr, other = (F.col(f"__{k}") for k in ("plain", "own", "q1", "q2", "words", "fr", "other"))
+    x = x.withColumn("__words", F.split("__plain", " ")).withColumn("__fr", _hits(F.col("__words"), "fr"))
+    doubtful = (F.col("__fr") * 3 <= F.size("__words")) | short  # else no other language is asked for
+    x = x.withColumn("__other", F.when(doubtful, F.greatest(*[_hits(F.col("__words"), k) for k in _WORDS if k != "fr"])).otherwise(0))
+    q1, q2 = F.col("q1"), F.col("q2")
+    plain, own, words, fr, other = (F.col(f"__{k}") for k in ("plain", "own", "words", "fr", "other"))
 
     empty = b.isNull() | ~b.rlike(r"[\p{L}\p{N}]") | plain.isin(_PLACEHOLDERS) | (plain == "n a") | (~short & plain.rlike(r"^(?:conclusion )?(?:oui|non)$"))
     long_copy = (F.length(own) >= 20) & (q1.contains(own) | q2.contains(own))
     bare = F.regexp_replace(own, "analyse$", "")
     same = lambda c: (c == q1) | (c == q2) | c.isin("cemessageestiltoxique", "lemessageestiltoxique", "aufinalcemessageestiltoxique")
     copy = (own != "") & (long_copy | same(own) | same(bare))
-    refusal = (F.length(b) < 400) & F.regexp_replace(folded, r"[^\p{L}\p{N},.;:!?]+", " ").rlike(_REFUSAL)
+    # who declines does so in the first two sentences, or in most of them
+    spaced = F.regexp_replace(folded, r"[^\p{L}\p{N},.;:!?]+", " ")
+    said = F.filter(F.split(spaced, r"[.!?]+(?= |$)"), lambda t: t.rlike(r"\p{L}"))
+    declines = lambda t: F.size(F.filter(t, lambda u: u.rlike(_REFUSAL)))
+    refusal = F.when(spaced.rlike(_REFUSAL), F.transform(F.array(said), lambda t: (declines(F.slice(t, 1, 2)) > 0) | (declines(t) * 2 >= F.size(t)))[0]).otherwise(False)
     foreign = (other >= 2) & (other > fr)
-    language = F.when(short, plain.isin(_FOREIGN_ANSWERS) | foreign).otherwise((foreign & (fr * 3 <= F.size(words))) | ~b.rlike(r"[\p{IsLatin}\p{N}]"))
+    count = lambda p: F.length(F.regexp_replace(b, p, ""))
+    script = F.when(b.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), count(r"[\P{L}\p{IsLatin}]+") > count(r"[^\p{IsLatin}]+")).otherwise(False)  # mostly not Latin
+    language = script | F.when(short, plain.isin(_FOREIGN_ANSWERS) | foreign).otherwise(foreign & (fr * 3 <= F.size(words)))
     begun = plain.isin([a[:k] for a in _ANSWERS for k in range(1, len(a))])
     defect = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(language, "language").when(short & begun, "truncated")
     return x.withColumn("defect", defect).drop(*[c for c in x.columns if c.startswith("__")])
 
 
-def _masked(tokens: list[str]) -> list[str]:
-    """Names (capitalised inside a sentence) become one sign."""
-    return [t if i == 0 or not t[0].isupper() else "§" for i, t in enumerate(tokens)]
+def sentences(c: Column) -> Column:
+    """array<struct<u, ended>>: the sentences of a text with names masked, one blank between words and no sign at the end."""
 
+    def one(t: Column) -> Column:
+        joined = F.array_join(F.regexp_extract_all(F.when(t == F.upper(t), F.lower(t)).otherwise(t), F.lit(_TOKEN), F.lit(0)), " ")
+        bare = F.regexp_replace(F.regexp_replace(joined, _INNER_NAME, "§"), r"(?: [.!?…]|^[.!?…])+$", "")
+        return F.struct(bare.alias("u"), t.rlike(_ENDED).alias("ended"))
 
-def _units(text: pd.Series) -> pd.Series:
-    """The sentences of each text: masked tokens and whether each has an end."""
-    out = []
-    for t in text:
-        units = []
-        for m in _UNIT.finditer(t or ""):
-            tokens = _masked(_TOKEN.findall(m[0].lower() if m[0].isupper() else m[0]))
-            if tokens:
-                ended = bool(regex.search(r"[.!?…\n][\s\"'»)\]]*$", m[0])) and m.end() <= len(t)
-                while tokens and regex.fullmatch(r"[.!?…]", tokens[-1]):
-                    tokens.pop()
-                if tokens:
-                    units.append({"tokens": tokens, "ended": ended})
-        out.append(units)
-    return pd.Series(out)
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(_UNIT), F.lit(0)), one), lambda x: x["u"] != "")
 
 
-def _shortened(firsts: list[tuple[int, str]]):
-    """Per sorted partition: the texts of which the next in order is a longer version. ``firsts``: each partition's first text."""
+def _contexts(words: Column, n: Column) -> Column:
+    """Hashes of the last 1, 2 and 3 of the first ``n`` words."""
+    last = lambda k: F.slice(words, F.greatest(n - (k - 1), F.lit(1)), F.least(n, F.lit(k)))
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(last(k), F.lit(k)).alias("key")) for k in (1, 2, 3)])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, part = None, None
-        for df in parts:
-            hits = []
-            for u, p in zip(df["u"], df["part"]):
-                if before is not None and u.startswith(before) and regex.search(r"[\p{L}\p{N}]", u[len(before) :]):
-                    hits.append(before)
-                before, part = u, p
-            if hits:
-                yield pd.DataFrame({"u": hits})
-        after = next((f for p, f in firsts if part is not None and p > part), None)
-        if before is not None and after is not None and after.startswith(before) and regex.search(r"[\p{L}\p{N}]", after[len(before) :]):
-            yield pd.DataFrame({"u": [before]})
 
-    return run
+def shortened(sentences_: DataFrame) -> DataFrame:
+    """(u) of the distinct sentences (u) of which the next in the order of all is a longer version. Sorted by range; the
+    last of a partition is compared with the first of the next, of which the driver holds one per partition."""
+    parts = max(int(sentences_.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = stage(sentences_.repartitionByRange(parts, "u").withColumn("part", F.spark_partition_id()), "ordered")
+    firsts = sorted((r["part"], r["u"]) for r in ordered.groupBy("part").agg(F.min("u").alias("u")).collect())
+    after = [(p, u) for (p, _), (_, u) in zip(firsts, firsts[1:])]
+    table = sentences_.sparkSession.createDataFrame(after, "part int, following string")
+    by = Window.partitionBy("part").orderBy("u")
+    x = ordered.withColumn("next", F.lead("u").over(by)).join(F.broadcast(table), "part", "left").withColumn("next", F.coalesce("next", "following"))
+    longer = F.startswith("next", "u") & F.expr("substring(next, length(u) + 1)").rlike(r"[\p{L}\p{N}]")
+    return x.where(longer).select("u")
 
 
-def _contexts(tokens: Column, n: Column) -> Column:
-    """The last 1, 2 and 3 of the first ``n`` tokens, and the whole beginning."""
-    last = lambda k: F.array_join(F.slice(tokens, F.greatest(n - (k - 1), F.lit(1)), F.least(n, F.lit(k))), " ")
-    return F.array(*[F.struct(F.lit(k).alias("k"), last(k).alias("ctx")) for k in (1, 2, 3)])
+def length_limits(last: DataFrame) -> list[int]:
+    """Lengths (column len) at which at least one in a thousand rows stops, and eight times as many as at any of the six
+    lengths around. At most a thousand by definition."""
+    per = last.groupBy("len").agg(F.count("*").alias("c"))
+    total = last.count()
+    near = per.select("c", "len", F.explode(F.array(*map(F.lit, (-3, -2, -1, 1, 2, 3)))).alias("d")).select((F.col("len") + F.col("d")).alias("len"), F.col("c").alias("b"))
+    around = near.groupBy("len").agg(F.max("b").alias("b"))
+    spikes = per.join(around, "len", "left").where((F.col("c") >= 3) & (F.col("c") * 1000 >= total) & (F.col("c") >= 8 * F.coalesce("b", F.lit(1))))
+    return [r["len"] for r in spikes.select("len").collect()]
 
 
 def truncated(rows: DataFrame) -> DataFrame:
-    """(rid) of the rows (rid, body) whose last sentence stops inside a word or sentence.
+    """(rid, rule) of the rows (rid, body) whose last sentence stops inside a word or sentence, and what decided it.
 
-    A last sentence without an end is judged by the longest known sequence of its last one to three tokens: sequences
-    that end sentences are whole, sequences that only go on are cut. An unknown last word is cut if known words continue
-    it, if the sentence is a shortened version of the next in order, or if the response stops at a length limit.
+    Rules: open (it ends with a sign that opens something), neighbour (its successor in the order of all sentences is a
+    longer version), spike (it stops at a length limit), tail (its last words go on elsewhere and hardly ever end a
+    sentence), begun (its last word is unknown and known words continue it). A sentence that also stands ended, or whose
+    longest known last words end sentences elsewhere, is whole.
     """
-    units = F.pandas_udf(_units, "array<struct<tokens:array<string>,ended:boolean>>")
-    split = stage(rows.select("rid", F.length("body").alias("len"), units("body").alias("units")), "units")
-    each = split.select("rid", F.posexplode("units").alias("at", "x"), F.size("units").alias("size"), "len").select("rid", "at", "size", "len", "x.tokens", "x.ended")
-    last = each.where("at = size - 1 AND NOT ended").where(~F.element_at("tokens", -1).isin('"', "»", ")", "]")).withColumn("u", F.array_join("tokens", " "))
-    last = stage(last.select("rid", "u", "tokens", "len"), "last")
-
-    # sequences inside and at the end of ended sentences; only distinct ones go on
-    n = F.size("tokens")
-    ended = each.where("ended").groupBy("tokens").agg(F.count("*").alias("times"))
-    spots = ended.select("times", "tokens", F.explode(F.sequence(F.lit(1), n)).alias("i")).select("times", (F.col("i") == F.size("tokens")).alias("final"), F.explode(_contexts(F.col("tokens"), F.col("i"))).alias("c"), F.element_at("tokens", F.col("i").cast("int")).alias("w"))
-    counts = spots.groupBy("c.k", "c.ctx").agg(F.sum(F.when(F.col("final"), F.col("times")).otherwise(0)).alias("ends"), F.sum(F.when(~F.col("final"), F.col("times")).otherwise(0)).alias("goes"))
-    asked = last.select("rid", F.explode(_contexts(F.col("tokens"), n)).alias("c")).select("rid", "c.k", "c.ctx").withColumn("key", F.concat_ws("\x1f", F.col("k").cast("string"), "ctx"))
-    per_key = asked.groupBy("key").agg(F.count("*").alias("n"))
-    known = counts.withColumn("key", F.concat_ws("\x1f", F.col("k").cast("string"), "ctx")).select("key", "ends", "goes").join(per_key, "key")
-    judged = salted_join(asked, known, "key", "n", asked.count(), F.col("rid")).groupBy("rid").agg(F.max(F.struct("k", "ends", "goes")).alias("best"))
-
-    # known words that continue the last word
-    words = counts.where("k = 1").select(F.col("ctx").alias("word"))
-    heads = words.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), 1, i))).alias("head")).distinct()
-    tails = last.select("rid", F.element_at("tokens", -1).alias("head")).where(F.col("head").rlike(r"^[\p{L}\p{M}]"))
+    split = stage(rows.select("rid", F.length("body").alias("len"), sentences(F.col("body")).alias("units")), "units")
+    each = split.select("rid", F.posexplode("units").alias("at", "x"), F.size("units").alias("size"), "len").select("rid", "at", "size", "len", "x.u", "x.ended")
+    unended = (F.col("at") == F.col("size") - 1) & ~F.col("ended") & ~F.col("u").rlike(r'["»)\]]$')
+    last = stage(each.where(unended).select("rid", "u", "len"), "last")
+    all_ = stage(each.groupBy("u").agg(F.count_if("ended").alias("times")), "sentences")
+
+    words = F.split("u", " ")
+    asked = last.select("rid", F.explode(_contexts(words, F.size(words))).alias("c")).select("rid", "c.k", "c.key")
+    keys = stage(asked.groupBy("key").agg(F.count("*").alias("n")), "asked")
+    few = keys.count() * 16 <= _BROADCAST
+    # contexts of all ended sentences, at and before their ends; only those asked for go on
+    ended = all_.where("times > 0").select("times", words.alias("w"))
+    spots = ended.select("times", F.size("w").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: _contexts(F.col("w"), i))).alias("at", "c"))
+    spots = spots.select("times", (F.col("at") == F.col("size") - 1).alias("final"), F.explode("c").alias("c")).select("times", "final", "c.key")
+    wanted = keys.select("key")
+    counts = spots.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").groupBy("key").agg(F.sum(F.when(F.col("final"), F.col("times")).otherwise(0)).alias("ends"), F.sum(F.when(~F.col("final"), F.col("times")).otherwise(0)).alias("goes"))
+    judged = salted_join(asked, counts.join(keys, "key"), "key", "n", keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], F.col("rid")).groupBy("rid").agg(F.max(F.struct("k", "ends", "goes")).alias("best"))
+
+    # known words that continue the last word of a sentence
+    vocabulary = all_.select(F.explode(words).alias("word")).distinct()
+    heads = vocabulary.where(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), 1, i))).alias("head")).distinct()
+    tails = last.select("rid", F.element_at(words, -1).alias("head")).where(F.col("head").rlike(r"^[\p{L}\p{M}]"))
     begun = tails.join(heads, "head", "left_semi").select("rid", F.lit(True).alias("begun"))
 
-    # sorted neighbours
-    distinct = each.select(F.array_join("tokens", " ").alias("u")).distinct()
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = stage(distinct.repartitionByRange(parts, "u").sortWithinPartitions("u").withColumn("part", F.spark_partition_id()), "ordered")
-    # a staged partition is read whole: files are named by partition and read in order within one
-    firsts = sorted((r["part"], r["u"]) for r in ordered.groupBy("part").agg(F.min("u").alias("u")).collect())
-    again = ordered.repartitionByRange(parts, "part").sortWithinPartitions("part", "u")
-    shorter = again.mapInPandas(_shortened(firsts), "u string").distinct()
-    cut = last.join(shorter, "u", "left_semi").select("rid", F.lit(True).alias("cut"))
-
-    # length limits: unended responses that pile up at one length
-    lengths = {r["len"]: r["count"] for r in last.groupBy("len").count().where("count >= 20").collect()} if last.limit(1).count() else {}
-    spikes = [x for x, c in lengths.items() if c >= 8 * max(1, *(lengths.get(x + d, 0) for d in (-3, -2, -1, 1, 2, 3)))]
+    cut = last.join(shortened(all_.select("u")), "u", "left_semi").select("rid", F.lit(True).alias("cut"))
+    whole = last.join(all_.where("times > 0").select("u"), "u", "left_semi").select("rid", F.lit(True).alias("whole"))
+    spikes = length_limits(last)
 
-    facts = last.join(judged, "rid", "left").join(begun, "rid", "left").join(cut, "rid", "left")
+    facts = last.join(judged, "rid", "left").join(begun, "rid", "left").join(cut, "rid", "left").join(whole, "rid", "left")
     ends, goes, k = F.coalesce("best.ends", F.lit(0)), F.coalesce("best.goes", F.lit(0)), F.coalesce("best.k", F.lit(0))
-    opened = F.col("u").rlike(r"[,;:(«]$")
-    unknown = F.coalesce("begun", F.lit(False)) | F.coalesce("cut", F.lit(False)) | F.col("len").isin(spikes or [-1])
-    verdict = F.when(opened, True).when(k >= 1, ends * 20 < goes).otherwise(unknown)
-    return facts.where(verdict).select("rid")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    goes_on = (k >= 1) & (ends * 20 < goes)
+    sound = yes("whole") | ((k >= 1) & ~goes_on)
+    rule = F.when(F.col("u").rlike(r"[,;:(«]$"), "open").when(sound, None).when(yes("cut"), "neighbour").when(F.col("len").isin(spikes or [-1]), "spike").when(goes_on, "tail").when(yes("begun"), "begun")
+    return facts.select("rid", rule.alias("rule")).where("rule IS NOT NULL").distinct()
+
+
+def _judged(sft: DataFrame, dpo: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = stage(ruled(answers(sft, dpo)).select("row_id", "field_name", "body", "defect").withColumn("rid", F.concat_ws("/", F.col("row_id").cast("string"), "field_name")), "answers")
+    open_ = rows.where("defect IS NULL AND field_name <> 'literal_conclusion_annotator'").select("rid", "body")
+    return rows, stage(truncated(open_), "truncated")
 
 
 def defects(sft: DataFrame, dpo: DataFrame) -> DataFrame:
@@ -201,13 +205,17 @@ def defects(sft: DataFrame, dpo: DataFrame) -> DataFrame:
     Null answers are empty; null questions are copied by nothing; repeated rows of an id come out once; empty tables
     give no rows.
     """
-    rows = stage(ruled(answers(sft, dpo)).select("row_id", "field_name", "body", "defect").withColumn("rid", F.concat_ws("/", F.col("row_id").cast("string"), "field_name")), "answers")
-    open_ = rows.where("defect IS NULL AND field_name <> 'literal_conclusion_annotator'").select("rid", "body")
-    cut = truncated(open_).distinct()
+    rows, cut = _judged(sft, dpo)
     found = rows.where("defect IS NOT NULL").select("row_id", "field_name", "defect").union(rows.join(cut, "rid", "left_semi").select("row_id", "field_name", F.lit("truncated")))
     return found.groupBy("row_id", "field_name").agg(F.min("defect").alias("defect"))
 
 
+def p1_rules(spark, sf_dir):
+    """What decided each truncated answer."""
+    rows, cut = _judged(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sft_rows", "dpo_formatted")))
+    return rows.join(cut, "rid").groupBy("row_id", "field_name").agg(F.min("rule").alias("rule"))
+
+
 def p1_found(spark, sf_dir):
     return defects(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sft_rows", "dpo_formatted")))
 
@@ -217,4 +225,4 @@ def p1_rates(spark, sf_dir):
     return p1_found(spark, sf_dir).groupBy("field_name", "defect").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_rules": p1_rules}

@@ -1,11 +1,12 @@
 """Problem 8: encode the corpus with a public byte-level BPE vocabulary.
 
 Method: texts are split into words by the vocabulary's pattern inside the JVM; every distinct word is encoded once, by
-folding ranked merges over its bytes with Spark's higher-order functions and a literal rank map; the ids then come back
-to the texts by a join on the word. The literal map is kept as an array of small maps, found by the CRC of the bytes,
-because a lookup in one literal map of 50,000 entries scans it. Decoding concatenates the binary pieces of the ids.
-Words of more than ``LONG`` bytes (runs of signs or blanks) are merged with a heap in an Arrow function instead, since
-the fold takes time quadratic in the length; both ways give the same ids.
+folding ranked merges over its bytes with Spark's higher-order functions and a literal rank map. The literal map is kept
+as an array of small maps, found by the CRC of the bytes, because a lookup in one literal map of 50,000 entries scans it.
+The ids come back to the texts in place: the most frequent words, as many as fit into ``BROADCAST_BYTES``, are broadcast
+and looked up in Arrow batches; only words outside this head are exploded and joined by a shuffle. Decoding concatenates
+the binary pieces of the ids. Words of more than ``LONG`` bytes (runs of signs or blanks) are merged with a heap in an
+Arrow function instead, since the fold takes time quadratic in the length; both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoramill.runtime import salted_join, stage
+from agoramill.runtime import release, stage
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits texts before the merges.
@@ -131,30 +135,107 @@ def dictionary(df: DataFrame, text: str = "text", path: str | None = None) -> Da
     counted = stage(counted, "words")
     short = counted.where(F.octet_length("word") <= LONG).withColumn("ids", merged_ids(F.col("word"), path))
     long = counted.where(F.octet_length("word") > LONG).withColumn("ids", _long_ids(ranks(path))("word"))
-    return stage(short.unionByName(long), "dictionary")
+    both = stage(short.unionByName(long), "dictionary")
+    release(counted)
+    return both
+
+
+def head(dic: DataFrame) -> tuple[pa.Table, int]:
+    """The most frequent words of a dictionary, at most ``BROADCAST_BYTES`` of them, and the least count of a word in it
+    (0: the dictionary is whole). The cut lies at a power of two, found from at most 64 sums."""
+    size = F.octet_length("word") + F.size("ids") * 4 + 16
+    level = F.floor(F.log2("n")).cast("int")
+    sums = {r[0]: r[1] for r in dic.groupBy(level.alias("level")).agg(F.sum(size)).collect()}
+    taken, least = 0, 0
+    for k in sorted(sums, reverse=True):
+        taken += sums[k]
+        if taken > BROADCAST_BYTES:
+            least = 2 ** (k + 1)
+            break
+    return dic.where(F.col("n") >= least).select("word", "ids").toArrow(), least
+
+
+def _looked_up(known, names: list[str], counts: bool):
+    """Arrow batches of (..., words) to (..., ids or tokens, missing): the words' ids in order, and the words unknown to
+    the head with the number of tokens before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(known.value).read_all().combine_chunks()
+        words = table.column("word").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        lists = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        sizes = np.diff(starts)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column("words")
+            texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+            per_row = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.index_in(pc.list_flatten(texts).cast(words.type), value_set=words)
+            at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+            n = np.where(at >= 0, sizes[at] if len(sizes) else 0, 0).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            edge = np.concatenate([[0], np.cumsum(per_row)])
+            bounds = ends[edge]
+            rest = np.flatnonzero(at < 0)
+            row = np.searchsorted(edge, rest, side="right") - 1
+            missing = pa.StructArray.from_arrays([pa.array((ends[rest] - bounds[row]).astype(np.int32)), pa.array(np.arange(len(rest), dtype=np.int32)), pc.list_flatten(texts).take(pa.array(rest))], ["at", "nth", "word"])
+            left = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, edge).astype(np.int32)), missing)
+            if counts:
+                out = pa.array(np.diff(bounds).astype(np.int32))
+            else:
+                steps = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
+                ids = flat[np.repeat(starts[:-1][at] if len(sizes) else at, n) + steps] if ends[-1] else np.zeros(0, np.int32)
+                out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out, left], [*names, "out", "missing"])
+
+    return run
+
+
+def _resolved(df: DataFrame, keys: list[str], text: str, path: str | None, counts: bool) -> DataFrame:
+    """(keys, out): the ids or their number for every row of ``df``."""
+    spark = df.sparkSession
+    dic = dictionary(df, text, path)
+    table, least = head(dic)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    names = ["__row", *[f"__k{i}" for i in range(len(keys))]]
+    rows = df.select(F.monotonically_increasing_id().alias("__row"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], words(F.col(text)).alias("words"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    first = rows.mapInArrow(_looked_up(known, names, counts), f"{kinds}, out {'int' if counts else 'array<int>'}, missing array<struct<at:int,nth:int,word:string>>")
+    back = [F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)]
+    if not least:
+        return first.select(*back, "out")
+    first = stage(first, "looked-up")
+    tail = dic.where(F.col("n") < least).select("word", "ids")
+    each = first.select("__row", F.explode("missing").alias("m")).select("__row", "m.at", "m.nth", "m.word").join(tail, "word")  # rare words only: none is hot
+    if counts:
+        more = each.groupBy("__row").agg(F.sum(F.size("ids")).cast("int").alias("more"))
+        whole = F.col("out") + F.coalesce("more", F.lit(0))
+    else:
+        more = each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "nth", "ids"))).alias("more"))
+        start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("at"))
+        step = lambda acc, m: F.struct(F.concat(acc["ids"], F.slice("out", acc["at"] + 1, m["at"] - acc["at"]), m["ids"]).alias("ids"), m["at"].alias("at"))
+        end = lambda acc: F.concat(acc["ids"], F.slice("out", acc["at"] + 1, F.size("out") - acc["at"]))
+        whole = F.when(F.col("more").isNull(), F.col("out")).otherwise(F.aggregate("more", start, step, end))
+    incomplete = first.where(F.size("missing") > 0).join(more, "__row", "left").select(*back, whole.alias("out"))
+    return first.where(F.size("missing") == 0).select(*back, "out").union(incomplete)
 
 
 def encoded(df: DataFrame, keys: list[str], text: str = "text", path: str | None = None, out: str = "ids") -> DataFrame:
     """``keys`` of every row of ``df`` and the token ids of its text, as a list of integers without special tokens.
 
     A null text and an empty text both have the empty list. Every row comes out once, also repeated ones; keys may be
-    null or repeat. The dictionary is broadcast while it is smaller than ``BROADCAST_BYTES``; else the words are joined
-    by a shuffle in which hot words are salted.
+    null or repeat. Texts don't leave their partition unless they hold words outside the dictionary's head.
     """
-    dic = dictionary(df, text, path)
-    bytes_, total = dic.agg(F.coalesce(F.sum(F.octet_length("word") + F.size("ids") * 4 + 64), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    rows = df.select(*named, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
-    each = rows.select("__row", *[f"__k{i}" for i in range(len(keys))], F.posexplode_outer(words(F.col("__text"))).alias("__pos", "word"))
-    if bytes_ <= BROADCAST_BYTES:
-        found = each.join(F.broadcast(dic.select("word", "ids")), "word", "left")
-    else:
-        filled = each.withColumn("word", F.coalesce("word", F.lit("")))  # no word is empty; a null key would meet in one task
-        found = salted_join(filled, dic, "word", "n", total, F.col("__row"), "left")
-    pieces = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("__pos", "ids")))
-    grouped = found.groupBy("__row", *[f"__k{i}" for i in range(len(keys))]).agg(pieces.alias("p"))
-    ids = F.flatten(F.transform(F.array_sort("p"), lambda x: x["ids"]))
-    return grouped.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], ids.alias(out))
+    return _resolved(df, keys, text, path, False).select(*keys, F.col("out").alias(out))
+
+
+def token_counts(df: DataFrame, keys: list[str], text: str = "text", path: str | None = None, out: str = "tokens") -> DataFrame:
+    """``keys`` of every row and the number of its token ids, without making them; 0 for null and empty texts."""
+    return _resolved(df, keys, text, path, True).select(*keys, F.col("out").alias(out))
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:
@@ -172,6 +253,13 @@ def p8_ids(spark, sf_dir):
     return encoded(_documents(spark, sf_dir), ["doc_id"])
 
 
+def p8_lengths(spark, sf_dir):
+    """How much of the corpus the heap handles: words and occurrences of more than 48 bytes."""
+    all_ = _documents(spark, sf_dir).select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    long = (F.octet_length("word") > LONG).cast("bigint")
+    return all_.agg(F.count("*").alias("n_words"), F.sum(long).alias("n_long"), F.sum("n").alias("n_occurrences"), F.sum(long * F.col("n")).alias("n_long_occurrences"))
+
+
 def p8_roundtrip(spark, sf_dir):
     """The number of documents, of tokens, and of documents whose ids decode to another text."""
     ids = encoded(_documents(spark, sf_dir), ["doc_id", "text"])
@@ -179,4 +267,4 @@ def p8_roundtrip(spark, sf_dir):
     return ids.agg(F.count("*").alias("n_documents"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(wrong.cast("bigint")).alias("n_wrong"))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip}
+QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p8_lengths": p8_lengths}

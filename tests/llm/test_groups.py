@@ -111,27 +111,49 @@ def sft_rows():
     return rows + [(200, "test", None, 1), (201, "test", "", 1), (202, "test", "!!!", 1), (203, "train", " !!! ", 1), (204, "train", base[0], 1), (0, "train", base[0], 1), (205, "test", "l'été", 1), (206, "train", "L’ÉTÉ", 1), (207, None, base[0], 1)]
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8])
 def test_overlap_is_brute_force(spark, threshold):
     rows = sft_rows()
     df = spark.createDataFrame(rows, "row_id long, split string, content string, term long")
-    vec = {r.row_id: (r.split, r.content, set(r.t)) for r in df.select("row_id", "split", "content", overlap.terms(F.col("content")).alias("t")).collect() if r.split and r.content and r.content.strip()}
-    classes = {}
-    for i, (_, c, t) in vec.items():
-        classes.setdefault(frozenset(t), []).append(i)
-    n = len({tuple(sorted(k)) for k in classes})
-    seen = Counter(t for k in classes for t in k)
-    w = {t: round(math.log(1 + n / c) ** 2 * 1000) for t, c in seen.items()}
+    cut = overlap.classes(df, "row_id", "content", "split").where("words <> ''").select("id", "train", "words", overlap.terms(F.col("words")).alias("t")).collect()
+    classes, sides = {}, defaultdict(set)
+    for r in cut:
+        classes[r.words] = set(r.t)
+        sides[r.words].add(r.train)
+    n = len(classes)
+    seen, where = Counter(t for k in classes.values() for t in k), defaultdict(set)
+    for k, ts in classes.items():
+        for t in ts:
+            where[t] |= sides[k]
+    w = {t: round(math.log(1 + min(n / c, overlap.RARITY)) ** 2 * 1000 * (1 if len(where[t]) == 2 else overlap.ONE_SIDED)) for t, c in seen.items()}
     norm = lambda s: sum(w[t] for t in s)
+    grams = lambda x: {x[i : i + 4] for i in range(max(1, len(x) - 3))}
     want = set()
-    for a, (sa, _, ta) in vec.items():
-        for b, (sb, _, tb) in vec.items():
-            if sa == "train" and sb != "train" and norm(ta & tb) / math.sqrt(norm(ta) * norm(tb)) >= threshold:
-                want.add((a, b))
-    assert {(r.train_id, r.other_id) for r in overlap.pairs(df, threshold=threshold).collect()} == want
+    for a in cut:
+        for b in cut:
+            if a.train and not b.train and a.id != b.id:
+                ta, tb, ga, gb = classes[a.words], classes[b.words], grams(a.words), grams(b.words)
+                cosine = norm(ta & tb) / math.sqrt(norm(ta) * norm(tb))
+                if a.words == b.words or (cosine >= threshold and len(ga & gb) / len(ga | gb) >= overlap.AGREEMENT):
+                    want.add((a.id, b.id))
+    got = overlap.pairs(df, threshold=threshold).collect()
+    assert {(r.train_id, r.other_id) for r in got} == want and len(got) == len(want)
     assert {(203, 202), (206, 205)} <= want and overlap.pairs(df.limit(0)).count() == 0
 
 
+def test_overlap_report_counts_pairs(spark):
+    rows = sft_rows()
+    df = spark.createDataFrame([(i, s, "ab"[i % 2], t) for i, s, t, _ in rows if s], "row_id long, split string, source string, content string")
+    want = defaultdict(lambda: [0, set()])
+    place = {i: (s, "ab"[i % 2]) for i, s, _, _ in rows}
+    for r in overlap.pairs(df).collect():
+        cell = want[place[r.other_id]]
+        cell[0] += 1
+        cell[1].add(r.other_id)
+    got = {(r.split, r.source): (r.n_pairs, r.n_rows) for r in overlap.report(df).collect()}
+    assert got == {k: (n, len(v)) for k, (n, v) in want.items()}
+
+
 @pytest.mark.parametrize("size", [1500, 6000])
 def test_overlap_finds_typos_at_any_size(spark, size):
     r = random.Random(2)

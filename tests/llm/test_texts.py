@@ -1,6 +1,7 @@
 """Problems 1, 2, 3 and 10: rules on written examples, held-out accuracy, edge cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,26 +58,69 @@ def test_sign_of_identity_numbers_is_implied(spark):
     df = spark.createDataFrame([(f"m{i:02d}", t, None) for i, t in enumerate(texts)], "msg_id string, content string, user string")
     assert df.where(F.col("content").rlike(pattern)).count() == len(texts) == df.where(F.col("content").rlike(sign)).count()
     assert personal.detected(df).where("pii_type = 'identity_number'").count() == len(texts)
-    assert personal.replaced(df).where(F.col("content").contains("[identity_number:")).count() == len(texts)
+    assert personal.replaced(df, "k").where(F.col("content").contains("[identity_number:")).count() == len(texts)
+
+
+def placeholders(text, kind):
+    return [x.split("]")[0] for x in (text or "").split(f"[{kind}:")[1:]]
 
 
 def test_replaced(spark):
-    rows = [("1", "Solène Dupré et SOLÈNE DUPRÉ, tel 06 12 34 56 78", "solene.dupre@a.fr"), ("1", "Solène Dupré et SOLÈNE DUPRÉ, tel 06 12 34 56 78", "solene.dupre@a.fr"), ("2", "rien à voir", None), ("3", None, ""), ("4", "M. Lang et Mme Lang", "x")]
+    rows = [
+        ("1", "Solène Dupré et SOLÈNE DUPRÉ, tel 06 12 34 56 78", "solene.dupre@a.fr"), ("1", "Solène Dupré et SOLÈNE DUPRÉ, tel 06 12 34 56 78", "solene.dupre@a.fr"),
+        ("2", "rien à voir", None), ("3", None, ""), ("4", "M. Lang et Mme Lang ou Jean Lang ?", "x"), ("5", "vu au 28 bis, avenue du Puits 75001 Paris, MARTIN Hélène.", "anon_user_0123456789"),
+        ("6", "appelle +33(0)612345678 ou NIR 1 85 05 99 994 358 13", ""), ("7", "passeport a@b.fr 83FS79339", None), ("8", "[person_name:x] de M. x puis Nadia", None),
+    ]
     df = spark.createDataFrame(rows, "msg_id string, content string, user string")
-    out = sorted(personal.replaced(df).collect(), key=lambda r: r.msg_id)
-    assert len(out) == 5 and out[0] == out[1] and out[2].content == "rien à voir" and out[3].content is None and out[3].user == ""
+    out = sorted(personal.replaced(df, "k").collect(), key=lambda r: r.msg_id)
+    assert len(out) == len(rows) and out[0] == out[1] and out[2].content == "rien à voir" and out[3].content is None and out[3].user == ""
     text = out[0].content
-    assert "Dupré" not in text and "[phone:06 " in text and out[0].user.startswith("[email:")
-    names = [x.split("]")[0] for x in text.split("[person_name:")[1:]]
+    assert "Dupré" not in text and "[phone:06 " in text and text.startswith("[person_name:") and out[0].user.startswith("[email:")
+    names = placeholders(text, "person_name")
     assert len(names) == 2 and names[1] == names[0].upper() and names[0].split()[0].lower() in personal.FEMALE
-    again = personal.replaced(df, secret="other").where("msg_id = '1'").first()
+    mr, mrs, jean = placeholders(out[4].content, "person_name")
+    assert mr.startswith("M. ") and mrs.startswith("Mme ") and mr != mrs and "Lang" not in out[4].content
+    assert mr.split()[1] == mrs.split()[1] == jean.split()[1] and jean.split()[0].lower() in personal.MALE and out[4].content.endswith("] ou [person_name:" + jean + "] ?")
+    address = placeholders(out[5].content, "address")[0]
+    assert " bis, avenue du " in address and "Puits" not in address and "75001" not in address and out[5].user == "anon_user_0123456789"
+    assert placeholders(out[5].content, "person_name")[0].split()[0].isupper() and not placeholders(out[5].content, "person_name")[0].split()[1].isupper()
+    same = placeholders(text, "phone")[0].replace(" ", "")
+    assert placeholders(out[6].content, "phone")[0] == "+33(0)" + same[1:] and "358" not in placeholders(out[6].content, "identity_number")[0][6:]
+    assert "83FS" not in out[7].content and "a@b.fr" not in out[7].content
+    again = personal.replaced(df, "other").where("msg_id = '1'").first()
     assert again.content != text
-
-
-def test_surrogates_are_distinct(spark):
-    found = spark.range(3000).select(F.lit("person_name").alias("type"), F.concat(F.lit("Hugo Nom"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("form"))
-    s = personal.surrogates(found, "k")
-    assert s.count() == 3000 == s.select("surrogate").distinct().count()
+    two = personal.replaced(df.where("msg_id = '1'"), "k").first()
+    assert (two.content, two.user) == (out[0].content, out[0].user)
+    assert personal.replaced(df.limit(0), "k").count() == 0
+
+
+def test_marks_keep_the_text(spark):
+    texts = {"a@b.fr,06 12 34 56 78;Jean Lang!": "§,§;§!", "12 rue Bleue a@b.fr": "§ §", "12 rue Bleue,a@b.fr et 13 rue Verte 0612345678": "§,§ et § §", "Jean Lang puis Paul Roux a@b.fr c@d.fr": "§ puis § § §", "x" * 5000 + " a@b.fr " + "y" * 5000: "x" * 5000 + " § " + "y" * 5000}
+    df = spark.createDataFrame([(t, t, None) for t in texts], "msg_id string, content string, user string")
+    for r in personal.replaced(df, "k").collect():
+        bare = re.sub(r"\[[a-z_]+:[^\]]*\]", "§", r.content)
+        assert bare.replace(" ", "") == texts[r.msg_id].replace(" ", ""), r.content[:200]
+
+
+def test_surrogates_are_distinct_and_stable(spark):
+    digits = F.lpad((F.col("id") * 7919 % 10_000_000).cast("string"), 8, "3")
+    phones = spark.range(5000).select(F.lit("phone").alias("type"), F.concat(F.lit("06"), digits).alias("form"))
+    ids = spark.range(5000).select(F.lit("identity_number").alias("type"), F.concat(F.lit("1850599"), digits).alias("form"))
+    names = spark.range(3000).select(F.lit("person_name").alias("type"), F.concat(F.lit("Hugo Nom"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("form"))
+    found = phones.union(ids).union(names)
+    forms, own = personal.rendered_forms(found, "k")
+    got = {(r.type, r.form): r.surrogate for r in forms.collect()}
+    sources = {f for _, f in got}
+    assert len(got) == len(set(got.values())) and not sources & set(got.values())
+    assert all(len(s) == len(f) and s[:2] == f[:2] for (t, f), s in got.items() if t == "phone")
+    later, _ = personal.rendered_forms(found.where("form LIKE '%7%'"), "k", own)
+    assert all(got[r.type, r.form] == r.surrogate for r in later.collect())
+
+
+def test_safety(spark):
+    df = spark.createDataFrame([("Jean Lang, 06 12 34 56 78, a@b.fr, 12 rue Bleue", "x")] * 3, "content string, user string")
+    rows = personal.safety(df, "k").collect()
+    assert len(rows) == 5 and all(r.n_unchanged == 0 and r.n_collisions == 0 for r in rows)
 
 
 # -- broken pairs
