@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agoramill.functions.text import strip
 
@@ -16,20 +17,31 @@ QUESTIONS = {"fr": "Ce message est-il toxique ?", "en": "Is this message toxic?"
 
 
 def clean_label(c: Column) -> Column:
-    """1 for oui, toxic, true and 1; 0 for any other text; null stays null."""
+    """Of a text: 1 for oui, toxic, true and 1; 0 for any other; null stays null."""
     return F.when(c.isNotNull(), strip(F.lower(c)).isin("oui", "toxic", "true", "1").cast("int"))
 
 
+def clean_number(c: Column) -> Column:
+    """A numeric label without its fraction, as int() cuts it: 1.0 is 1, -1 stays -1; null and NaN are null."""
+    return F.when(~F.isnan(c.cast("double")), c.cast("double").cast("int"))
+
+
+def cleaned(df: DataFrame, name: str) -> Column:
+    """The label column by its type: numbers and booleans are cut to whole numbers, texts cleaned."""
+    kind = df.schema[name].dataType
+    return clean_number(F.col(name).cast("int") if kind == T.BooleanType() else F.col(name)) if isinstance(kind, (T.NumericType, T.BooleanType)) else clean_label(F.col(name))
+
+
 def class_label(c: Column) -> Column:
     """1 if the lower-cased label contains oui; null is 0."""
     return F.coalesce(F.contains(F.lower(c), F.lit("oui")), F.lit(False)).cast("int")
 
 
-def by_substring(c: Column, lang: str = "fr") -> Column:
-    """"0", "1", or the answer itself where it contains neither; the negative answer holds the positive one, so it goes first."""
+def by_substring(c: Column, lang: str = "fr", keep: bool = True) -> Column:
+    """"0" or "1", or the answer itself (null, unless ``keep``) where it contains neither; the negative answer holds the positive one, so it goes first."""
     no, yes = ANSWERS[lang]
     s = strip(F.lower(c))
-    return F.when(s.contains(no), "0").when(s.contains(yes), "1").otherwise(s)
+    return F.when(s.contains(no), "0").when(s.contains(yes), "1").otherwise(s if keep else F.lit(None))
 
 
 def by_tail(c: Column, lang: str = "fr", default: int = 0, lower: bool = False) -> Column:
@@ -78,6 +90,12 @@ def unsafe(c: Column) -> Column:
     return F.contains(F.lower(c), F.lit("unsafe")).cast("int")
 
 
+def encoder_verdict(logits: Column) -> Column:
+    """struct<label, probability> of two logits: the likelier class, "Non Toxic" of equals, and its probability."""
+    p = softmax(logits)
+    return F.transform(F.array(p), lambda q: F.when(q[1] > q[0], F.struct(F.lit("Toxic").alias("label"), q[1].alias("probability"))).otherwise(F.struct(F.lit("Non Toxic").alias("label"), q[0].alias("probability"))))[0]
+
+
 def harm_label(annotations: Column) -> Column:
     """1 if Toxicity (missing: 1) is above 2 or any other category above 1."""
     others = F.map_values(F.map_filter(annotations, lambda k, _: k != "Toxicity"))
@@ -118,6 +136,17 @@ def fewshot_block(text: Column, answer: Column) -> Column:
     return joined(["Message :\n« ", text, f" »\n{QUESTIONS['fr']}\n", answer])
 
 
+def first_examples(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
+    """The first ``k`` rows of each class by ``key``: ``k`` rows per class and task reach one place, never a class."""
+    few = df.where(F.col(label).isNotNull()).select(label, key, F.struct(key, *[c for c in df.columns if c not in (label, key)]).alias("__row"))
+    classes = [r[0] for r in few.select(label).distinct().orderBy(label).collect()]  # there are few classes
+    parts = [few.where(F.col(label) == c).orderBy(key).limit(k) for c in classes]
+    out = parts[0] if parts else few.limit(0)
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.select(label, "__row.*")
+
+
 def fewshot_prompt(template: str, toxic: Sequence[str], calm: Sequence[str], seed: int = 42) -> str:
     """The template with the examples, in a seeded order and separated by blank lines, at <insert here>. Examples are a
     handful of texts of the experiment's configuration, so this runs on the driver."""

@@ -9,33 +9,41 @@ from pyspark.sql import functions as F
 
 from agoramill.functions.text import is_blank, word_count
 from agoramill.operators.sampling import first_per_key, sampled
+from agoramill.sources.files import read_prompt
 
 
 @dataclass(frozen=True)
 class Step:
-    """One annotation: its title in later prompts, the end of its prompt, and its system prompt (read by the caller)."""
+    """One annotation: its title in later prompts, the end of its prompt, and the name of its system prompt's file."""
 
     title: str
     end: str
-    system: str = ""
+    file: str
 
 
 # The texts of the prompts, in the order of the steps.
 START = "Voici les informations à analyser :\n\n"
 STEPS = {
-    "explication": Step("Explication", "Ta tâche est de reformuler, résumer et expliquer ce message de manière claire et neutre.\n\n"),
-    "ton": Step("Ton", "Ta tâche est d’identifier de façon nuancée les tons présents dans ce message.\n\n"),
-    "intention": Step("Intention", "Ta tâche est d’identifier les intentions principales du message de manière nuancée.\n\n"),
-    "categorie": Step("Catégorie", "Ta tâche est d’identifier les catégories correspondant au message de manière nuancée.\n\n"),
-    "labels": Step("Labels selon la taxonomie", "Ta tâche est d’identifier les labels appropriés selon la taxonomie donnée.\n\n"),
-    "toxicite_score": Step("Score de toxicité", "Ta tâche est d’attribuer une note de toxicité en tenant compte de toutes ces analyses et en suivant le barème donné.\n\n"),
-    "certitude": Step("Certitude", "Ta tâche est d’évaluer la certitude du score de toxicité.\n\n"),
-    "conclusion": Step("Conclusion", "Ta tâche est conclure sur la toxicité du contenu.\n\n"),
+    "explication": Step("Explication", "Ta tâche est de reformuler, résumer et expliquer ce message de manière claire et neutre.\n\n", "explication.txt"),
+    "ton": Step("Ton", "Ta tâche est d’identifier de façon nuancée les tons présents dans ce message.\n\n", "ton.txt"),
+    "intention": Step("Intention", "Ta tâche est d’identifier les intentions principales du message de manière nuancée.\n\n", "intention.txt"),
+    "categorie": Step("Catégorie", "Ta tâche est d’identifier les catégories correspondant au message de manière nuancée.\n\n", "categorie.txt"),
+    "labels": Step("Labels selon la taxonomie", "Ta tâche est d’identifier les labels appropriés selon la taxonomie donnée.\n\n", "taxonomie.txt"),
+    "toxicite_score": Step("Score de toxicité", "Ta tâche est d’attribuer une note de toxicité en tenant compte de toutes ces analyses et en suivant le barème donné.\n\n", "bareme.txt"),
+    "certitude": Step("Certitude", "Ta tâche est d’évaluer la certitude du score de toxicité.\n\n", "certitude.txt"),
+    "conclusion": Step("Conclusion", "Ta tâche est conclure sur la toxicité du contenu.\n\n", "conclusion.txt"),
 }
+#: The steps of the progress table and of the token estimate, in order.
+REPORTED = [s for s in STEPS if s != "certitude"]
 # Dollars per thousand tokens.
 PROMPT_PRICE, COMPLETION_PRICE = 0.0005, 0.0015
 
 
+def system_prompts(folder: str) -> dict[str, str]:
+    """The system prompt of every step from its file in ``folder``; a missing file is an error that names it."""
+    return {name: read_prompt(f"{folder}/{step.file}") for name, step in STEPS.items()}
+
+
 def earlier(step: str) -> list[str]:
     """The steps whose answers a step sees."""
     if step == "certitude":
@@ -69,10 +77,11 @@ def user_prompt(step: str, columns: list[str], content: str = "content") -> Colu
     return F.concat(F.lit(START), *blocks, F.lit(STEPS[step].end))
 
 
-def requests(queued: DataFrame, step: str, model: str = "gpt-4o-mini", max_tokens: int = 150, order: list[str] | None = None) -> DataFrame:
-    """One request per id (custom_id, msg_id, method, url, body); of copies the first in ``order``."""
+def requests(queued: DataFrame, step: str, model: str = "gpt-4o-mini", max_tokens: int = 150, order: list[str] | None = None, systems: dict[str, str] | None = None) -> DataFrame:
+    """One request per id (custom_id, msg_id, method, url, body); of copies the first in ``order``. ``systems`` holds the
+    system prompt of each step; without it the system message is empty."""
     one = first_per_key(queued, "msg_id", order or ["msg_id", "content"])
-    system, user = F.struct(F.lit("system").alias("role"), F.lit(STEPS[step].system).alias("content")), F.struct(F.lit("user").alias("role"), user_prompt(step, one.columns).alias("content"))
+    system, user = F.struct(F.lit("system").alias("role"), F.lit((systems or {}).get(step, "")).alias("content")), F.struct(F.lit("user").alias("role"), user_prompt(step, one.columns).alias("content"))
     body = F.struct(F.lit(model).alias("model"), F.array(system, user).alias("messages"), F.lit(max_tokens).alias("max_tokens"))
     return one.select(F.concat(F.lit(step + "_"), "msg_id").alias("custom_id"), "msg_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))
 
@@ -99,23 +108,34 @@ def merged(checkpoint: DataFrame, results: DataFrame, step: str) -> DataFrame:
     return base.join(new, F.col("msg_id").eqNullSafe(F.col("__id")), "left").withColumn(step, F.coalesce(F.when(F.col("__new") != "", F.col("__new")), F.col(step))).drop("__id", "__new")
 
 
-def progress(checkpoint: DataFrame) -> DataFrame:
-    """(step, prompt_words, n_distinct, n_todo) of the steps that are columns, from one pass; else null counts."""
-    here = [s for s in STEPS if s in checkpoint.columns]
-    one = checkpoint.agg(F.count("*").alias("__all"), *[a for s in here for a in (F.count_distinct(s).alias(f"{s}_d"), F.sum(is_blank(F.col(s)).cast("bigint")).alias(f"{s}_t"))])
+def _n_words(text: str | None) -> int:
+    return len((text or "").split())
+
+
+def progress(checkpoint: DataFrame, systems: dict[str, str] | None = None) -> DataFrame:
+    """(step, prompt_words, n_distinct, n_todo), one row per reported step, from one pass.
+
+    Distinct answers don't count nulls but count an empty one; to do are nulls and empty answers, not blank ones. A step
+    without a column has null counts. Answers are compared by a digest, so their texts aren't multiplied.
+    """
+    here = [s for s in REPORTED if s in checkpoint.columns]
+    aggs = [a for s in here for a in (F.count_distinct(F.md5(s)).alias(f"{s}_d"), F.sum((F.col(s).isNull() | (F.col(s) == "")).cast("bigint")).alias(f"{s}_t"))]
+    one = checkpoint.agg(F.count("*").alias("__all"), *aggs)
     null = F.lit(None).cast("bigint")
-    rows = [F.struct(F.lit(s).alias("step"), F.lit(len(STEPS[s].system.split())).alias("prompt_words"), (F.col(f"{s}_d") if s in here else null).alias("n_distinct"), (F.col(f"{s}_t") if s in here else null).alias("n_todo")) for s in STEPS]
+    rows = [F.struct(F.lit(s).alias("step"), F.lit(_n_words((systems or {}).get(s))).alias("prompt_words"), (F.col(f"{s}_d") if s in here else null).alias("n_distinct"), (F.coalesce(F.col(f"{s}_t"), F.lit(0)) if s in here else null).alias("n_todo")) for s in REPORTED]
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def token_estimate(checkpoint: DataFrame, step: str) -> DataFrame:
-    """Words that a run over all rows would send: the system prompt per row, the messages and the earlier answers."""
-    cols = ["content"] + [c for c in checkpoint.columns if c in earlier(step)]
-    words = [F.sum(word_count(F.col(c)).cast("bigint")) for c in cols]
-    total = words[0]
-    for w in words[1:]:
-        total = total + w
-    return checkpoint.agg(F.count("*").alias("n_rows"), (F.count("*") * len(STEPS[step].system.split()) + F.coalesce(total, F.lit(0))).alias("n_words"))
+def token_estimate(checkpoint: DataFrame, step: str, systems: dict[str, str] | None = None, base: tuple[str, ...] = ()) -> DataFrame:
+    """(n_rows, n_words): words that a run over all rows sends: the system prompts of the step and of the earlier steps
+    that are columns, per row, and the words of those steps' answers. Null answers have no words, the messages aren't
+    counted, and columns that the messages already had (``base``) are no answers."""
+    before = [s for s in REPORTED[: REPORTED.index(step)] if s in checkpoint.columns and s not in base]
+    per_row = sum(_n_words((systems or {}).get(s)) for s in [*before, step])
+    words = F.lit(0).cast("bigint")
+    for s in before:
+        words = words + F.when(F.col(s).isNull(), 0).otherwise(word_count(F.col(s)))
+    return checkpoint.agg(F.count("*").alias("n_rows"), (F.count("*") * per_row + F.coalesce(F.sum(words), F.lit(0))).alias("n_words"))
 
 
 def cost(results: DataFrame) -> DataFrame:

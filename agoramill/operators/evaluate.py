@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agoramill.functions.verdicts import cleaned
+
 METRICS = ["Precision_0", "Recall_0", "F1_0", "Precision_1", "Recall_1", "F1_1", "Accuracy", "ROC_AUC"]
 
 
@@ -80,3 +82,26 @@ def leaderboard_row(counts: DataFrame, model: str) -> DataFrame:
 def upserted(board: DataFrame, row: DataFrame, key: str = "Model") -> DataFrame:
     """The board with the row in place of any of the same model."""
     return board.join(row.select(key), key, "left_anti").unionByName(row, allowMissingColumns=True)
+
+
+def evaluated(truth: DataFrame, predictions: DataFrame, model: str, board: DataFrame | None = None, key: str = "content") -> DataFrame:
+    """From raw predictions to the board: both label columns cleaned by their type, joined on the text, reported, and
+    the model's row put in place of any it had. No common text gives the board as it was.
+
+    A label that is missing (null, NaN, a failed request's null) is no prediction and drops out; "Error" and other texts
+    that are no yes count as 0, and -1 counts in accuracy only.
+    """
+    t = truth.select(F.col(key).alias("content"), cleaned(truth, "label").alias("label")).where("label IS NOT NULL")
+    p = predictions.select("content", cleaned(predictions, "label").alias("label")).where("label IS NOT NULL")
+    counts = pair_counts(t, p)
+    row = leaderboard_row(counts, model)
+    some = counts.agg(F.count("*").alias("__n")).where("__n > 0").select(F.lit(model).alias("Model"))  # one row or none
+    row = row.join(F.broadcast(some), "Model", "left_semi")
+    if board is None:
+        return row
+    return board.join(row.select("Model"), "Model", "left_anti").unionByName(row, allowMissingColumns=True)
+
+
+def f1(counts: DataFrame) -> DataFrame:
+    """F1 of class 1 of argmax predictions, the metric of the encoder's training."""
+    return report(counts).select(F.col("F1_1").alias("f1"))

@@ -14,7 +14,8 @@ MIN_WORDS, MAX_WORDS = 5, 25
 MU, SIGMA, BANNED, DELETED = 6.0, 2.5, 10.0, 3.0
 # French months, for dates written out.
 MONTHS = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split()
-_BOUND = 200_000
+#: Bytes of the names up to which they are broadcast.
+_BYTES = 32 << 20
 
 
 def alias(c: Column, kind: str) -> Column:
@@ -74,17 +75,33 @@ def _keyword_tokens(c: Column) -> Column:
 def mentioning(df: DataFrame, names: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key) of the rows whose content holds a name (column name) between boundaries, in any case.
 
-    Names and contents are cut into the same tokens; a name of k tokens is a run of k tokens whose original form it is.
-    The table of names is broadcast while it has at most 200,000 rows, else joined by a shuffle.
+    Names and contents are cut into the same tokens, and the join is on the hash of a name's whole run of tokens, so a
+    common first word doesn't multiply rows. A hit is then compared with the name as written: a name of one plain token
+    is that token, any other must stand in the content between boundaries. Run lengths come from the names (a list of
+    distinct lengths); the names are broadcast while their texts have at most ``_BYTES`` bytes, else joined by a shuffle.
     """
     n = names.select(F.lower("name").alias("name")).where("name IS NOT NULL AND name <> ''").distinct().withColumn("toks", _keyword_tokens(F.col("name"))).where(F.size("toks") > 0)
-    single = n.select(F.element_at("toks", 1).alias("tok"), "name")
-    rows = df.select(key, F.lower(content).alias("low")).where("low IS NOT NULL")
-    each = rows.select(key, "low", F.explode(F.array_distinct(_keyword_tokens(F.col("low")))).alias("tok"))
-    few = names.limit(_BOUND + 1).count() <= _BOUND
-    hit = each.join(F.broadcast(single) if few else single, "tok")
-    quoted = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.replace("name", F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![a-z0-9_])"))
-    return hit.where((F.col("tok") == F.col("name")) | F.regexp_like("low", quoted)).select(key).distinct()
+    n = n.select("name", F.size("toks").alias("k"), F.xxhash64("toks").alias("run"))
+    sizes = n.agg(F.coalesce(F.sum(F.length("name") + 64), F.lit(0)).alias("bytes"), F.collect_set("k").alias("ks")).first()
+    runs = n.where(F.col("k").isNotNull()).select("name", "k", "run")
+    rows = df.select(F.col(key).alias("__id"), F.lower(content).alias("low")).where("low IS NOT NULL")
+    toks = _keyword_tokens(F.col("low"))
+
+    def of(k: int):
+        if k == 1:
+            return lambda t: F.transform(t, lambda x: F.struct(F.lit(1).alias("k"), F.xxhash64(F.array(x)).alias("run")))
+        starts = lambda t: F.when(F.size(t) >= k, F.sequence(F.lit(1), F.size(t) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return lambda t: F.transform(starts(t), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.slice(t, i, F.lit(k))).alias("run")))
+
+    ks = sorted(sizes["ks"]) or [1]
+    grams = F.transform(F.array(toks), lambda t: F.array_distinct(F.concat(*[of(k)(t) for k in ks])))[0]
+    each = rows.select("__id", "low", F.explode(grams).alias("x")).select("__id", "low", "x.k", "x.run")
+    hit = each.join(F.broadcast(runs) if sizes["bytes"] <= _BYTES else runs, ["k", "run"])
+    plain = (F.col("k") == 1) & ~F.col("name").rlike("[^a-z0-9_]")
+    # as written: only names of several tokens or other signs, of which few rows are left
+    quoted = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9_])"))
+    written = F.regexp_like("low", quoted)
+    return hit.where(F.when(plain, True).otherwise(written)).select(F.col("__id").alias(key)).distinct()
 
 
 def scrubbed(df: DataFrame, names: DataFrame, content: str = "content") -> DataFrame:
@@ -94,8 +111,9 @@ def scrubbed(df: DataFrame, names: DataFrame, content: str = "content") -> DataF
 
 
 def inspected(df: DataFrame) -> DataFrame:
-    """Rows, distinct users and topics, deleted rows, and whether the ids are unique, in one row."""
-    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("user").alias("n_users"), F.count_distinct("topic").alias("n_topics"), F.sum(F.col("deleted").cast("bigint")).alias("n_deleted"), (F.count_distinct("msg_id") == F.count("msg_id")).alias("unique_ids"))
+    """Rows, distinct users and topics, deleted rows, and whether the ids are unique, in one row. Digests are counted, so
+    that no text is multiplied."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct(F.md5("user")).alias("n_users"), F.count_distinct(F.md5("topic")).alias("n_topics"), F.sum(F.col("deleted").cast("bigint")).alias("n_deleted"), (F.count_distinct(F.md5("msg_id")) == F.count("msg_id")).alias("unique_ids"))
 
 
 def of_length(df: DataFrame, lo: int = MIN_WORDS, hi: int = MAX_WORDS, content: str = "content") -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoramill.functions import verdicts as v
 from agoramill.functions.text import strip, word_count
 from agoramill.operators import annotate, evaluate, forum, predictors, sampling, training
-from agoramill.runtime import table
+from agoramill.runtime import shared_dir, table
+from agoramill.sources import files
+
+#: The system prompts of the annotation steps, one file each.
+PROMPTS = str(Path(__file__).parent / "prompts")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -183,17 +190,20 @@ def priority_topk(spark, sf_dir):
     return _queue(spark, sf_dir).where("priority_rank <= 100").select("priority_rank", "msg_id")
 
 
-@query(f"SELECT CAST(CAST(date_trunc('month', {_DATE}) AS DATE) AS VARCHAR) AS month, count(*) AS n_events FROM raw_forum WHERE {_DATE} IS NOT NULL GROUP BY 1")
+_SPINE = "spine AS (SELECT CAST(unnest(generate_series((SELECT min(month) FROM c), (SELECT max(month) FROM c), INTERVAL 1 MONTH)) AS DATE) AS month) SELECT CAST(spine.month AS VARCHAR) AS month, coalesce(n, 0) AS n_events FROM spine LEFT JOIN c USING (month)"
+
+
+@query(f"WITH c AS (SELECT CAST(date_trunc('month', {_DATE}) AS DATE) AS month, count(*) AS n FROM raw_forum WHERE {_DATE} IS NOT NULL GROUP BY 1), {_SPINE}")
 def monthly_volume(spark, sf_dir):
     df = table(spark, sf_dir, "raw_forum").withColumn("ts", forum.parsed_date(F.col("date")))
-    return forum.monthly(df, "ts").where("n_events > 0").withColumn("month", F.col("month").cast("string"))
+    return forum.monthly(df, "ts").withColumn("month", F.col("month").cast("string"))
 
 
-@query("""WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders WHERE o_totalprice > 450000 GROUP BY 1),
-spine AS (SELECT CAST(unnest(generate_series((SELECT min(month) FROM c), (SELECT max(month) FROM c), INTERVAL 1 MONTH)) AS DATE) AS month)
-SELECT CAST(spine.month AS VARCHAR) AS month, coalesce(n, 0) AS n_events FROM spine LEFT JOIN c USING (month)""")
+@query(f"WITH c AS (SELECT CAST(date_trunc('month', o_orderdate + to_years(CAST(o_orderkey % 3 AS INTEGER) * 20)) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1), {_SPINE}")
 def monthly_zero_filled(spark, sf_dir):
-    return forum.monthly(table(spark, sf_dir, "orders").where("o_totalprice > 450000"), "o_orderdate").withColumn("month", F.col("month").cast("string"))
+    """All orders, moved by none, twenty or forty years by their key: the months between have none."""
+    df = table(spark, sf_dir, "orders").withColumn("ts", F.expr("add_months(to_date(o_orderdate), CAST(o_orderkey % 3 AS INT) * 240)"))
+    return forum.monthly(df, "ts").withColumn("month", F.col("month").cast("string"))
 
 
 # -- sampling
@@ -258,10 +268,11 @@ def annotation_queue_excluding(spark, sf_dir):
     return annotate.queue(ck.select("msg_id"), ck, "explication", table(spark, sf_dir, "anonymous_forum_prioritized").where("hour = 3"))
 
 
-@query(f"WITH {_CHECKPOINT}, one AS (SELECT DISTINCT ON (msg_id) msg_id, content, explication FROM ck ORDER BY msg_id, content) SELECT 'ton_' || msg_id AS custom_id, 'Voici les informations à analyser :' || chr(10) || chr(10) || '**Message original** :' || chr(10) || '« ' || coalesce(content, 'nan') || ' »' || chr(10) || chr(10) || '**Explication** :' || chr(10) || '« ' || coalesce(explication, 'nan') || ' »' || chr(10) || chr(10) || 'Ta tâche est d’identifier de façon nuancée les tons présents dans ce message.' || chr(10) || chr(10) AS prompt FROM one")
+@query(f"WITH {_CHECKPOINT}, one AS (SELECT DISTINCT ON (msg_id) msg_id, content, explication FROM ck ORDER BY msg_id, content) SELECT 'ton_' || msg_id AS custom_id, 'Voici les informations à analyser :' || chr(10) || chr(10) || '**Message original** :' || chr(10) || '« ' || coalesce(content, 'nan') || ' »' || chr(10) || chr(10) || '**Explication** :' || chr(10) || '« ' || coalesce(explication, 'nan') || ' »' || chr(10) || chr(10) || 'Ta tâche est d’identifier de façon nuancée les tons présents dans ce message.' || chr(10) || chr(10) AS prompt, 'Nomme le ton du message et dis si tu en es sûr.' AS system FROM one")
 def annotation_requests(spark, sf_dir):
-    r = annotate.requests(_checkpoint(spark, sf_dir), "ton")
-    return r.select("custom_id", F.col("body.messages")[1]["content"].alias("prompt"))
+    """Requests with the step's system prompt from its file."""
+    r = annotate.requests(_checkpoint(spark, sf_dir), "ton", systems=annotate.system_prompts(PROMPTS))
+    return r.select("custom_id", F.col("body.messages")[0]["content"].alias("system"), F.col("body.messages")[1]["content"].alias("prompt"))
 
 
 def _responses(spark, sf_dir):
@@ -297,21 +308,36 @@ def structured_notes(spark, sf_dir):
     return a.select("msg_id", annotate.note(F.col("answer")).alias("note")).where("note IS NOT NULL")
 
 
+# words of the system prompts, of the steps that are columns; nulls and empty answers are to do, blank ones are not
+_PROMPT_WORDS = {"explication": 12, "ton": 12, "intention": 7, "categorie": 11, "labels": 13, "toxicite_score": 15, "conclusion": 11}
+
+
 @query(
     f"WITH {_CHECKPOINT} "
     + " UNION ALL ".join(
-        f"SELECT '{s}' AS step, CAST(0 AS INTEGER) AS prompt_words, "
-        + (f"count(DISTINCT {s}) AS n_distinct, CAST(sum(CASE WHEN {s} IS NULL OR {_strip(s)} = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_todo FROM ck" if s in ("explication", "toxicite_score") else "CAST(NULL AS BIGINT) AS n_distinct, CAST(NULL AS BIGINT) AS n_todo")
-        for s in annotate.STEPS
+        f"SELECT '{s}' AS step, CAST({n} AS INTEGER) AS prompt_words, "
+        + (f"count(DISTINCT {s}) AS n_distinct, count(*) FILTER (WHERE {s} IS NULL) + count(*) FILTER (WHERE {s} = '') AS n_todo FROM ck" if s in ("explication", "toxicite_score") else "CAST(NULL AS BIGINT) AS n_distinct, CAST(NULL AS BIGINT) AS n_todo")
+        for s, n in _PROMPT_WORDS.items()
     )
 )
 def annotation_progress(spark, sf_dir):
-    return annotate.progress(_checkpoint(spark, sf_dir))
+    return annotate.progress(_checkpoint(spark, sf_dir), annotate.system_prompts(PROMPTS))
+
+
+def _said_words(x: str) -> str:
+    return f"coalesce(len(list_filter(regexp_split_to_array({x}, '{_WS}+'), lambda w: w <> '')), 0)"
 
 
-@query(f"WITH {_CHECKPOINT} SELECT count(*) AS n_rows, CAST(sum({_words('content')}) + sum({_words('explication')}) AS BIGINT) AS n_words FROM ck")
+@query(f"WITH {_CHECKPOINT} SELECT count(*) AS n_rows, CAST(count(*) * (12 + 12) + sum({_said_words('explication')}) AS BIGINT) AS n_words FROM ck")
 def token_estimate(spark, sf_dir):
-    return annotate.token_estimate(_checkpoint(spark, sf_dir), "ton")
+    """System prompts of the step and of the one before it, per row, and the words of its answers."""
+    return annotate.token_estimate(_checkpoint(spark, sf_dir), "ton", annotate.system_prompts(PROMPTS))
+
+
+@query(f"WITH {_CHECKPOINT} SELECT count(*) AS n_rows, CAST(count(*) * (12 + 15 + 11) + sum({_said_words('explication')}) + sum({_said_words('toxicite_score')}) AS BIGINT) AS n_words FROM ck")
+def token_estimate_last(spark, sf_dir):
+    """The last step, after two steps with answers."""
+    return annotate.token_estimate(_checkpoint(spark, sf_dir), "conclusion", annotate.system_prompts(PROMPTS))
 
 
 @query(f"WITH {_RESP} SELECT CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(prompt_tokens) / 1000 * 0.0005 + sum(completion_tokens) / 1000 * 0.0015, 6) AS dollars FROM ans")
@@ -345,9 +371,15 @@ def class_labels(spark, sf_dir):
     return table(spark, sf_dir, "sft_rows").select("row_id", v.class_label(F.col("literal_conclusion_annotator")).alias("label"))
 
 
-@query(f"WITH {_LABELLED} SELECT row_id, label FROM lab")
+_NUMBER = f"CASE WHEN row_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) WHEN row_id % 7 = 0 THEN -1.0 ELSE {_NOTE} / 3.0 END"
+
+
+@query(f"WITH {_LABELLED}, num AS (SELECT row_id, {_NUMBER} AS x FROM sft_rows) SELECT lab.row_id, label, CASE WHEN NOT isnan(x) THEN CAST(trunc(x) AS INTEGER) END AS number FROM lab JOIN num ON lab.row_id = num.row_id")
 def clean_labels(spark, sf_dir):
-    return _sft(spark, sf_dir).select("row_id", "label")
+    """Labels written as texts, and labels that are numbers: -1, fractions and NaN among them."""
+    x = F.when(F.col("row_id") % 11 == 0, F.lit(float("nan"))).when(F.col("row_id") % 7 == 0, -1.0).otherwise(F.col("note") / 3.0)
+    df = _notes(spark, sf_dir).withColumn("x", x)
+    return df.select("row_id", v.cleaned(df, "literal_conclusion_annotator").alias("label"), v.cleaned(df, "x").alias("number"))
 
 
 _SAID = "replace(replace(lower(completion), 'conclusion : oui', 'toxique'), 'conclusion : non', 'non-toxique')"
@@ -375,38 +407,64 @@ def verdict_pattern(spark, sf_dir):
 
 
 def _logits(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("x"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
-_X = "x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings)"
+_X = "x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings), s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda e: exp(e))) AS z FROM x)"
 
 
-@query(f"WITH {_X} SELECT vec_id, round(exp(a) / (exp(a) + exp(b) + exp(c) + exp(d)), 9) AS p, CASE WHEN 1 - exp(a) / (exp(a) + exp(b) + exp(c) + exp(d)) > exp(a) / (exp(a) + exp(b) + exp(c) + exp(d)) THEN 1 ELSE 0 END AS label FROM x")
+@query(f"WITH {_X} SELECT vec_id, round(exp(x[1]) / z, 9) AS p, CASE WHEN 1 - exp(x[1]) / z > exp(x[1]) / z THEN 1 ELSE 0 END AS label FROM s")
 def decision_softmax(spark, sf_dir):
     return _logits(spark, sf_dir).withColumn("s", v.softmax(F.col("x"))).select("vec_id", F.round(F.col("s")[0], 9).alias("p"), v.any_but_first(F.col("s")).alias("label"))
 
 
-@query(f"WITH {_X} SELECT vec_id, round(1 / (1 + exp(-a)), 9) AS p, CASE WHEN 1 / (1 + exp(-a)) > 0.5 THEN 1 ELSE 0 END AS label FROM x")
+@query(f"WITH {_X} SELECT vec_id, round(1 / (1 + exp(-x[1])), 9) AS p, CASE WHEN 1 / (1 + exp(-x[1])) > 0.5 THEN 1 ELSE 0 END AS label FROM x")
 def decision_sigmoid(spark, sf_dir):
     p = v.sigmoid(F.col("x")[0])
     return _logits(spark, sf_dir).select("vec_id", F.round(p, 9).alias("p"), (p > 0.5).cast("int").alias("label"))
 
 
-@query(f"WITH {_X} SELECT vec_id, CASE WHEN a >= greatest(b, c, d) THEN 0 WHEN b >= greatest(c, d) THEN 1 WHEN c >= d THEN 2 ELSE 3 END AS label FROM x")
+@query(f"WITH {_X} SELECT vec_id, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS label FROM x")
 def decision_argmax(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", v.argmax(F.col("x")).alias("label"))
 
 
-@query(f"WITH {_X} SELECT vec_id, CASE WHEN a >= 0.1 OR b >= 0.1 OR c >= 0.1 OR d >= 0.1 THEN 1 ELSE 0 END AS label FROM x")
+@query(f"WITH {_X} SELECT vec_id, CASE WHEN list_max(x) >= 0.5 THEN 1 ELSE 0 END AS label FROM x")
 def decision_any_flag(spark, sf_dir):
-    return _logits(spark, sf_dir).select("vec_id", v.any_at_least(F.col("x"), 0.1).alias("label"))
+    return _logits(spark, sf_dir).select("vec_id", v.any_at_least(F.col("x")).alias("label"))
 
 
-@query(f"WITH {_X} SELECT vec_id, round(b - ln(exp(a) + exp(b) + exp(c) + exp(d)), 9) AS logprob FROM x")
+@query(f"WITH {_X} SELECT vec_id, round(x[2] - ln(z), 9) AS logprob FROM s")
 def token_logprob(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", F.round(v.log_prob(F.col("x"), F.lit(1)), 9).alias("logprob"))
 
 
+@query(f"WITH {_X} SELECT vec_id, CASE WHEN len(list_filter(x, lambda e: e > 0.4)) > 0 THEN 1 ELSE 0 END AS any_flag, CASE WHEN exp(x[1]) / z > 0.5 THEN 1 ELSE 0 END AS yes_no, CASE WHEN x[1] > 0 THEN 1 ELSE 0 END AS flagged FROM s")
+def decision_flags(spark, sf_dir):
+    """Rules of moderation services: any category's flag, the share of Yes, one overall flag."""
+    rule = predictors.RULES
+    x = F.col("x")
+    return _logits(spark, sf_dir).select("vec_id", rule["MistralModerationPredictor"](F.transform(x, lambda e: e > 0.4)).alias("any_flag"), rule["ShieldGemmaPredictor"](x).alias("yes_no"), rule["OpenAIModerationPredictor"](x[0] > 0).alias("flagged"))
+
+
+@query(f"WITH {_X} SELECT vec_id, CASE WHEN x[2] > x[1] THEN 'Toxic' ELSE 'Non Toxic' END AS label, round(greatest(exp(x[1]), exp(x[2])) / z, 9) AS probability FROM s")
+def encoder_verdicts(spark, sf_dir):
+    """The encoder's label with its probability."""
+    said = predictors.RULES["EncoderPredictor"](F.col("x"))
+    return _logits(spark, sf_dir).withColumn("v", said).select("vec_id", "v.label", F.round("v.probability", 9).alias("probability"))
+
+
+@query("WITH t AS (SELECT row_id, list_extract(string_split(replace(replace(completion, 'Conclusion : oui', 'TOXIQUE'), 'Conclusion : non', 'Non-toxique'), 'Ce message est-il toxique ?'), -1) AS tail FROM dpo_formatted) SELECT row_id, CASE WHEN tail IS NULL THEN NULL WHEN contains(lower(tail), 'non-toxique') THEN 0 WHEN contains(lower(tail), 'toxique') THEN 1 ELSE 1 END AS qwen, CASE WHEN tail IS NULL THEN NULL WHEN contains(lower(tail), 'toxique') THEN 1 ELSE 0 END AS guard, CASE WHEN tail IS NULL THEN NULL WHEN contains(tail, 'TOXIQUE') THEN 1 ELSE 0 END AS classifier FROM t")
+def verdict_local(spark, sf_dir):
+    """Rules of local models: the tail in lower case with another default, unsafe, and a classifier's own word."""
+    c = F.replace(F.replace("completion", F.lit("Conclusion : oui"), F.lit("TOXIQUE")), F.lit("Conclusion : non"), F.lit("Non-toxique"))
+    tail = F.element_at(F.split(c, "\\QCe message est-il toxique ?\\E"), -1)
+    rule = predictors.RULES
+    guard = F.when(F.lower(tail).contains("toxique"), "Unsafe\nS10").otherwise(F.when(tail.isNotNull(), "safe"))
+    own = F.when(tail.contains("TOXIQUE"), "toxic").otherwise(F.when(tail.isNotNull(), "neutral"))
+    return table(spark, sf_dir, "dpo_formatted").select("row_id", rule["Qwen3Predictor"](c).alias("qwen"), rule["LlamaGuardPredictor"](guard).alias("guard"), rule["FrenchToxicityClassifierPredictor"](own).alias("classifier"))
+
+
 # -- training data
 _NL2 = "chr(10) || chr(10)"
 _PROMPT = f"'Message:' || chr(10) || {_strip('content')} || {_NL2} || 'Analyse:' || chr(10)"
@@ -432,10 +490,49 @@ def dpo_candidates(spark, sf_dir):
     return out.withColumn("candidates", F.array_join("candidates", "|"))
 
 
-@query("SELECT row_id, 'Message :' || chr(10) || '« ' || content || ' »' || chr(10) || 'Ce message est-il toxique ?' || chr(10) || CASE WHEN contains(lower(literal_conclusion_annotator), 'oui') THEN 'toxique' ELSE 'non-toxique' END AS block FROM sft_rows WHERE split = 'test'")
+@query("SELECT row_id, 'Message :' || chr(10) || '« ' || content || ' »' || chr(10) || 'Ce message est-il toxique ?' || chr(10) || CASE WHEN contains(lower(literal_conclusion_annotator), 'oui') THEN 'toxique' ELSE 'non-toxique' END AS block FROM sft_rows")
 def fewshot_blocks(spark, sf_dir):
     answer = F.when(v.class_label(F.col("literal_conclusion_annotator")) == 1, "toxique").otherwise("non-toxique")
-    return table(spark, sf_dir, "sft_rows").where("split = 'test'").select("row_id", v.fewshot_block(F.col("content"), answer).alias("block"))
+    return table(spark, sf_dir, "sft_rows").select("row_id", v.fewshot_block(F.col("content"), answer).alias("block"))
+
+
+@query(f"WITH {_LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS k FROM lab WHERE label IS NOT NULL) SELECT label, row_id FROM r WHERE k <= 5")
+def fewshot_examples(spark, sf_dir):
+    """The first five examples of each class."""
+    return v.first_examples(_sft(spark, sf_dir).select("row_id", "label"), "label", "row_id", 5)
+
+
+@query(_RANKED + f", c AS (SELECT row_id, CAST(unnest(range(1, hi // n + CASE WHEN rn <= hi % n THEN 2 ELSE 1 END)) AS INTEGER) AS copy FROM r, m), f AS (SELECT row_id, {_PROMPT} || coalesce(array_to_string({_PARTS}, {_NL2}), '') || chr(10) || 'Conclusion : ' || coalesce(literal_conclusion_annotator, 'None') || chr(10) || '<|im_end|>' AS text FROM sft_rows) SELECT c.row_id, copy, row_number() OVER (ORDER BY sha256('42:' || c.row_id || '/' || copy), c.row_id || '/' || copy) AS rank, array_to_string((string_split(text, ' '))[1:64], ' ') AS tokens FROM c JOIN f USING (row_id)")
+def prepared_sft(spark, sf_dir):
+    """Oversampled, shuffled, formatted, tokenised and cut to 64 tokens."""
+    out = training.prepared_sft(_sft(spark, sf_dir).withColumn("__l", F.col("label")), "row_id", oversampling=True, max_length=64, label_class="__l")
+    return out.select("row_id", "copy", "rank", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(_RANKED + f", c AS (SELECT row_id FROM r, m WHERE rn <= lo), f AS (SELECT row_id, {_PROMPT} || coalesce(array_to_string({_PARTS}, {_NL2}), '') || chr(10) || 'Conclusion : ' || coalesce(literal_conclusion_annotator, 'None') || chr(10) || '<|im_end|>' AS text FROM sft_rows) SELECT c.row_id, row_number() OVER (ORDER BY sha256('42:' || c.row_id), c.row_id) AS rank, CAST(len((string_split(text, ' '))[1:1024]) AS INTEGER) AS n_tokens FROM c JOIN f USING (row_id)")
+def prepared_dpo(spark, sf_dir):
+    """Undersampled, shuffled, formatted, tokenised and cut."""
+    out = training.prepared_dpo(_sft(spark, sf_dir).withColumn("__l", F.col("label")), "row_id", label_class="__l")
+    return out.select("row_id", "rank", F.when(F.col("text").isNotNull(), F.size("tokens")).alias("n_tokens"))
+
+
+@query(f"SELECT row_id, CASE WHEN contains(lower(coalesce(literal_conclusion_annotator, '')), 'oui') THEN 1 ELSE 0 END AS label, CAST(128 AS INTEGER) AS n_tokens, CAST(least(len(string_split(coalesce({_strip('content')}, ''), ' ')), 128) AS INTEGER) AS n_real FROM sft_rows")
+def prepared_encoder(spark, sf_dir):
+    """Exactly 128 tokens per row, padded, with the class."""
+    out = training.prepared_encoder(table(spark, sf_dir, "sft_rows"), "row_id")
+    return out.select("row_id", "label", F.size("tokens").alias("n_tokens"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
+
+
+def _echo(prompts: list[str]) -> list[list[str]]:
+    """A stand-in generator: two candidates per prompt, which show that it got an opened thought."""
+    return [[f"{len(p)}", p[-8:]] for p in prompts]
+
+
+@query("SELECT prompt, completion AS reference, CASE WHEN prompt IS NULL THEN '8' ELSE CAST(length(prompt) + 8 AS VARCHAR) END || '|<think>' || chr(10) AS candidates FROM dpo_formatted")
+def generated_candidates(spark, sf_dir):
+    """Candidates of a pluggable generator for every prompt."""
+    df = table(spark, sf_dir, "dpo_formatted").select("prompt", F.col("completion").alias("reference"))
+    return training.generated(df, _echo, 2).withColumn("candidates", F.array_join("candidates", "|"))
 
 
 @query("SELECT row_id, 'Lis. « ' || content || ' »' || chr(10) || 'Ce message est-il toxique ?' || chr(10) AS hosted, 'Lis.« ' || content || ' »' || chr(10) || ' Ce message est-il toxique ?' || chr(10) AS local FROM sft_rows")
@@ -531,23 +628,132 @@ def leaderboard_upsert(spark, sf_dir):
     return evaluate.upserted(board, new).select("Model", F.round("Accuracy", 9).alias("Accuracy"), F.round("F1_1", 9).alias("F1_1"))
 
 
+@query(_REPORT + " SELECT F1_1 AS f1 FROM r")
+def encoder_f1(spark, sf_dir):
+    return evaluate.f1(_pair_counts(spark, sf_dir)).select(F.round("f1", 9).alias("f1"))
+
+
+_EVAL = f"WITH truth AS (SELECT content, CASE WHEN {_strip('lower(literal_conclusion_annotator)')} IN ('oui', 'toxic', 'true', '1') THEN 1 ELSE 0 END AS target FROM sft_rows WHERE literal_conclusion_annotator IS NOT NULL), pred AS (SELECT content, CAST(trunc(x) AS INTEGER) AS prediction FROM (SELECT content, {_NUMBER} AS x FROM sft_rows) WHERE x IS NOT NULL AND NOT isnan(x)), pairs AS (SELECT target, prediction FROM truth JOIN pred ON truth.content IS NOT DISTINCT FROM pred.content), k AS (SELECT count(*) FILTER (WHERE target = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE target = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE target = 1) AS t1, count(*) FILTER (WHERE prediction = 1) AS s1, count(*) AS n FROM pairs)"
+
+
+@query(_EVAL + " SELECT 'old' AS Model, 0.5 AS Accuracy, CAST(NULL AS DOUBLE) AS Precision_1, CAST(NULL AS DOUBLE) AS Recall_1 UNION ALL SELECT 'run', round((tp + tn) / n, 9), round(tp / s1, 9), round(tp / t1, 9) FROM k")
+def evaluated_predictions(spark, sf_dir):
+    """From raw predictions, numbers with -1 and NaN among them, to the board."""
+    board = spark.createDataFrame([("old", 0.5), ("run", 0.1)], "Model string, Accuracy double")
+    x = F.when(F.col("row_id") % 11 == 0, F.lit(float("nan"))).when(F.col("row_id") % 7 == 0, -1.0).otherwise(F.col("note") / 3.0)
+    df = _notes(spark, sf_dir)
+    out = evaluate.evaluated(df.select("content", F.col("literal_conclusion_annotator").alias("label")), df.select("content", x.alias("label")), "run", board)
+    return out.select("Model", *[F.round(c, 9).alias(c) for c in ("Accuracy", "Precision_1", "Recall_1")])
+
+
 # -- predictors
 
 
-@query("SELECT content, CAST(row_id AS BIGINT) AS row_id FROM sft_rows WHERE content IS NOT NULL AND split = 'test' AND content NOT IN (SELECT content FROM sft_rows WHERE content IS NOT NULL AND split = 'train')")
+@query("SELECT content, CAST(row_id AS BIGINT) AS row_id FROM sft_rows WHERE content IS NOT NULL AND content NOT IN (SELECT content FROM sft_rows WHERE content IS NOT NULL AND split = 'train')")
 def resume_predictions(spark, sf_dir):
-    """Test messages that have no prediction yet, where those of train have one."""
+    """Messages that have no prediction yet, where those of train have one."""
     df = table(spark, sf_dir, "sft_rows")
-    return predictors.pending(df.where("split = 'test'").select("content", "row_id"), df.where("split = 'train'"))
+    return predictors.pending(df.select("content", "row_id"), df.where("split = 'train'"))
 
 
-@query("SELECT content, CASE WHEN length(content) % 3 = 0 THEN 1 ELSE 0 END AS label FROM sft_rows WHERE split = 'test' AND content IS NOT NULL")
+@query("SELECT content, CASE WHEN length(content) % 3 = 0 THEN 1 ELSE 0 END AS label FROM sft_rows WHERE content IS NOT NULL")
 def rehearsed_predictions(spark, sf_dir):
-    """The runner with a stand-in model and a decision rule."""
-    df = table(spark, sf_dir, "sft_rows").where("split = 'test' AND content IS NOT NULL")
+    """The batched runner with a stand-in model and a decision rule."""
+    df = table(spark, sf_dir, "sft_rows").where("content IS NOT NULL")
     return predictors.labelled(predictors.predicted(df, predictors.Rehearsal()), "FineTunedPredictor").select("content", "label")
 
 
+_FAULTY = "WITH x AS (SELECT content, length(content) AS n FROM sft_rows WHERE content IS NOT NULL) SELECT content, CASE WHEN n % 7 = 0 THEN 'Error' WHEN n % 3 <> 0 THEN '0' WHEN n % 2 <> 0 THEN '1' ELSE 'peut-être' END AS label FROM x"
+
+
+@query(_FAULTY)
+def faulty_predictions(spark, sf_dir):
+    """The threaded runner with a model that fails on some rows: these come out as errors, all others as they are."""
+    df = table(spark, sf_dir, "sft_rows").where("content IS NOT NULL")
+    policy = predictors.Policy(2, 0.0, failure="Error", workers=4)
+    return predictors.labelled(predictors.predicted(df, predictors.Faulty(), policy=policy, threaded=True), "GPTPredictor").select("content", "label")
+
+
+@query(_FAULTY.replace("THEN 'Error'", "THEN NULL").replace("ELSE 'peut-être'", "ELSE NULL"))
+def faulty_batches(spark, sf_dir):
+    """The batched runner with the same model: a batch that fails is tried row by row; neither errors nor other answers
+    are labels."""
+    df = table(spark, sf_dir, "sft_rows").where("content IS NOT NULL")
+    return predictors.labelled(predictors.predicted(df, predictors.Faulty(), policy=predictors.Policy(2, 0.0)), "MistralAPIPredictor").select("content", "label")
+
+
+# -- sources and sinks: written, read back and compared
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_TEXTS = "SELECT row_id, CASE WHEN CoT_explication IN ('', 'NA', 'N/A', 'n/a', 'nan', 'NaN', 'null', 'NULL', 'None') THEN NULL ELSE CoT_explication END AS CoT_explication, CASE WHEN content IN ('', 'NA', 'N/A', 'n/a', 'nan', 'NaN', 'null', 'NULL', 'None') THEN NULL ELSE content END AS content FROM sft_rows"
+
+
+@query(_TEXTS)
+def csv_roundtrip(spark, sf_dir):
+    """Texts with quotes and line ends through a CSV file with a typed schema; texts that mean missing are null."""
+    path = _scratch(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "sft_rows").select("row_id", "content", "CoT_explication"), path)
+    return files.read_csv(spark, path, "row_id bigint, content string, CoT_explication string").select("row_id", "CoT_explication", "content")
+
+
+@query("SELECT row_id, prompt, completion FROM dpo_formatted")
+def jsonl_roundtrip(spark, sf_dir):
+    """Candidates as JSON lines, nulls kept, read with a schema."""
+    path = _scratch(spark, "jsonl")
+    files.write_jsonl(table(spark, sf_dir, "dpo_formatted").select("row_id", "prompt", "completion"), path)
+    return files.read_jsonl(spark, path, "row_id bigint, prompt string, completion string").select("row_id", "prompt", "completion")
+
+
+@query(f"WITH {_CHECKPOINT} SELECT DISTINCT 'ton_' || msg_id AS custom_id, 'POST' AS method FROM ck WHERE msg_id IS NOT NULL")
+def requests_roundtrip(spark, sf_dir):
+    """Requests of a batch as JSON lines."""
+    path = _scratch(spark, "requests")
+    ck = _checkpoint(spark, sf_dir).where("msg_id IS NOT NULL")
+    files.write_requests(annotate.requests(ck, "ton", systems=annotate.system_prompts(PROMPTS)), path)
+    return files.read_jsonl(spark, path, files.REQUEST).select("custom_id", "method")
+
+
+@query("SELECT split, count(*) AS n FROM sft_rows WHERE split = 'validation' GROUP BY split")
+def split_scan(spark, sf_dir):
+    """One split of a table that is partitioned by split: only its folder is read."""
+    path = _scratch(spark, "splits")
+    table(spark, sf_dir, "sft_rows").write.partitionBy("split").parquet(path)
+    return files.read_parquet(spark, path, "validation").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT word FROM (SELECT lower(trim(word)) AS word FROM vocabulary UNION ALL SELECT lower(user) FROM raw_forum) WHERE word <> ''")
+def vocabulary_file(spark, sf_dir):
+    """A word list written as text, read back and united with the accounts."""
+    path = _scratch(spark, "words")
+    table(spark, sf_dir, "vocabulary").where("word IS NOT NULL").select(F.trim("word").alias("value")).write.text(path)
+    return files.read_words(spark, path, table(spark, sf_dir, "raw_forum").select(F.col("user").alias("word")))
+
+
+@query("SELECT 'topics' AS kind, count(DISTINCT topic) AS n FROM raw_forum UNION ALL SELECT 'users', count(DISTINCT user) FROM raw_forum UNION ALL SELECT 'msg_ids', count(DISTINCT msg_id) FROM raw_forum")
+def mapping_tables(spark, sf_dir):
+    """The mapping tables as they stand in their folder."""
+    path = _scratch(spark, "mappings")
+    files.write_mappings(forum.mappings(table(spark, sf_dir, "raw_forum"), table(spark, sf_dir, "vocabulary")), path)
+    out = None
+    for kind in ("topics", "users", "msg_ids"):
+        n = spark.read.parquet(f"{path}/mapping_{kind}").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query(f"WITH {_CHECKPOINT} SELECT count(*) AS n_rows, count(explication) AS n_answers FROM ck")
+def replaced_table(spark, sf_dir):
+    """A checkpoint that reads and replaces itself."""
+    path = _scratch(spark, "checkpoint")
+    _checkpoint(spark, sf_dir).write.parquet(path)
+    files.replace_table(spark.read.parquet(path), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.count("explication").alias("n_answers"))
+
+
 # -- grouped counts of the remaining tables
 
 

@@ -68,7 +68,8 @@ def secret(spec: dict) -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).csv(path, header=True, escape='"', encoding="UTF-8")
+    """UTF-8 with a header and doubled quotes; white space at the ends of a text is kept."""
+    df.write.mode(mode).csv(path, header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_requests(df: DataFrame, path: str) -> None:

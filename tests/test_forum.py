@@ -76,3 +76,11 @@ def test_monthly(spark):
 def test_gaussian(spark):
     got = spark.range(24).select(forum.gaussian(F.col("id"))).collect()
     assert all(math.isclose(r[0], math.exp(-((h - 6) ** 2) / 12.5)) for h, r in enumerate(got))
+
+
+def test_mentions_by_runs_of_words(spark):
+    names = spark.createDataFrame([("jean",), ("jean_paul",), ("le grand chef",), ("a.b",), ("élan",), ("x\\Ey",), ("!!",), (None,)], "name string")
+    texts = ["salut Jean !", "jean_paul dit", "c'est LE GRAND CHEF ici", "le grand, chef", "vu a.b hier", "vu a b hier", "un élan.", "tape x\\Ey là", "jeannot", None, "", "le " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string")
+    assert {r.k for r in forum.mentioning(df, names, "k").collect()} == {0, 1, 2, 4, 6, 7}
+    assert forum.mentioning(df, names.limit(0), "k").count() == 0

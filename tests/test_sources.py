@@ -17,6 +17,26 @@ def test_csv(spark, tmp_path):
     assert files.read_csv(spark, str(empty), files.BENCHMARK).count() == 0
 
 
+def test_csv_round_trip_keeps_blanks(spark, tmp_path):
+    texts = [" un ", "\nligne\n", 'a "b"', "c,d", "\\x", "é"]
+    df = spark.createDataFrame([(t, str(i).zfill(3)) for i, t in enumerate(texts)], "content string, label string")
+    files.write_csv(df, str(tmp_path / "c"))
+    back = files.read_csv(spark, str(tmp_path / "c"), files.PREDICTIONS).collect()
+    assert sorted((r.label, r.content) for r in back) == [(str(i).zfill(3), t) for i, t in enumerate(texts)]
+
+
+def test_split_scan_is_pruned(spark, tmp_path):
+    spark.createDataFrame([(1, "train"), (2, "test")], "i int, split string").write.partitionBy("split").parquet(str(tmp_path / "s"))
+    df = files.read_parquet(spark, str(tmp_path / "s"), "test")
+    assert [r.i for r in df.collect()] == [2] and len(df.inputFiles()) >= 1
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"output": "x.csv"}}')
+    (tmp_path / "k").write_text(" s\n")
+    assert files.read_config(str(tmp_path / "c.json"))["a"]["output"] == "x.csv" and files.secret({"type": "file", "path": str(tmp_path / "k")}) == "s"
+
+
 def test_words_prompts_and_secrets(spark, tmp_path, monkeypatch):
     (tmp_path / "w.txt").write_text("Un\nun\ndeux\n\n")
     assert {r.word for r in files.read_words(spark, str(tmp_path / "w.txt"), spark.createDataFrame([("TROIS",)], "word string")).collect()} == {"un", "deux", "trois"}
