@@ -1,41 +1,31 @@
 """Problem 10: the subject areas of each document.
 
-Method: a multi-pattern automaton matches weighted subject terms in the sentences of a document; a sentence deals with
-the subject of the largest weight per square root of its length, and a document with every subject whose share of
-sentences reaches a threshold calibrated on the hand-labelled sample. The curated terms below are only seeds: terms that
-occur, over all documents, mainly beside one subject's seeds join them, weighted by how exclusively they do and by their
-rarity, and seeds that turn out to be idioms of everyday talk lose their weight in the same count.
+Method: a multi-pattern automaton matches curated subject terms in the sentences of a document. The terms of a subject
+stand in a file of its own, one a line, with a weight after a tab if it isn't 1; they are all that decides, and no text
+changes the list. A term weighs its curated weight times its rarity over the sentences of all documents; a sentence deals
+with the subject of the largest weight per square root of its length, and a document with every subject whose share of
+sentences reaches the subject's threshold, calibrated on the hand-labelled sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agoramill.functions.text import fold
 from agoramill.runtime import release, stage
 
-# Curated seed terms of each subject, folded and without words of one or two letters.
-SEEDS = {
-    "science": "physique|chimie|neutrino|photosynthese|supernova|laboratoire|theoreme|enzyme|genome|telescope|microscope|mecanique quantique|matiere noire|cellule souche|dark matter|catalyst|control group|particle|hypothesis|genetic|lunar probe|detector",
-    "law": "jurisprudence|huissier|licenciement|procureur|notaire|assignation|garde vue|code civil|contrat travail|vice cache|prud hommes|diffamation|bail|clause abusive|lawyer|bailiff|lease|settlement|plaintiff|hearing|injunction|court appeal",
-    "sport": "penalty|marathon|dribble|arbitre|entraineur|match retour|demi finale|hors jeu|mercato|vestiaire|lancer franc|decathlon|podium|buteur|offside|goalkeeper|coach|playoffs|locker room|referee|sprint|championship",
-    "software": "compilateur|framework|micro service|base donnees|pare feu|fuite memoire|boucle infinie|requete recursive|depot git|serveur test|regex|bibliotheque standard|deboguer|tests unitaires|database|container|memory leak|unit test|firewall|compiler|deployment|source code",
-    "videogames": "gameplay|boss final|speedrun|loot|manette|joystick|dlc|donjon|guilde|matchmaking|borne arcade|quete secondaire|monde ouvert|multijoueur|dungeon|controller|cheat code|final boss|side quest|save file|guild|multiplayer",
-    "health": "antibiotique|migraine|cholesterol|tendinite|vaccin|entorse|dermatologue|ordonnance|radiographie|asthme|kine|anesthesie|prise sang|medecin traitant|antibiotics|blood test|sprained ankle|physiotherapist|allergy|vaccine|surgery|prescription",
-    "cooking": "bechamel|risotto|vinaigrette|gratin|caramel|marinade|pate feuilletee|creme fraiche|levure|oignons|farine|bouillon|clafoutis|echalotes|butter|broth|frying pan|slow cooker|dough|oven|recipe|whisk",
-    "cinema": "realisateur|court metrage|long metrage|scenario|casting|doublage|bande annonce|remake|western|thriller|plan sequence|second role|figurant|bande originale|director|lead actor|soundtrack|closing credits|movie|screenplay|pilot episode|trailer",
-    "finance": "livret epargne|plus value|taux interet|dividende|virement|inflation|assurance vie|action bourse|frais bancaires|pret immobilier|courtier|agio|mensualite|portefeuille|savings account|bank fees|overdraft|tax return|interest rate|stock market|mortgage|dividend",
-    "cars": "embrayage|carburateur|vidange|pneu|moteur diesel|joint culasse|boite automatique|pare brise|injecteur|alternateur|retroviseur|frein main|cardan|carrosserie|diesel engine|used sedan|oil change|exhaust|gearbox|windshield|brake pads|clutch",
-}
-SUBJECTS = list(SEEDS)
-#: Terms of fewer sentences than this, or than this share of all, can't be told from chance.
-LEAST, LEAST_SHARE = 8, 1e-6
-PURITY = 0.42
+#: The folder of the curated terms: folded, without words of one or two letters.
+TERMS = str(Path(__file__).parent / "terms")
+#: The least weight per square root of the words of a sentence.
+LEAST = 0.05
 # What French letters become when UTF-8 is read as Latin-1, and HTML entities.
 BROKEN = {"Ã©": "é", "Ã¨": "è", "Ãª": "ê", "Ã«": "ë", "Ã ": "à", "Ã ": "à", "Ã¢": "â", "Ã§": "ç", "Ã®": "î", "Ã¯": "ï", "Ã´": "ô", "Ã»": "û", "Ã¹": "ù", "Å“": "œ", "â€™": "'", "&eacute;": "é", "&egrave;": "è", "&ecirc;": "ê", "&agrave;": "à", "&ccedil;": "ç", "&ocirc;": "ô", "&icirc;": "î", "&nbsp;": " ", "&#39;": "'", "&rsquo;": "'", "&quot;": '"', "&amp;": "&"}
 
@@ -57,115 +47,143 @@ def sentences(c: Column) -> Column:
     return F.transform(raw, lambda s: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(s, F.lit(r"[a-z]{3,}"), F.lit(0)), " "), F.lit(" ")))
 
 
-def _terms(s: Column) -> Column:
-    """Distinct words and pairs of neighbouring words of a sentence."""
-    w = F.split(F.trim(s), " ")
-    pairs = F.transform(F.array(w), lambda x: F.transform(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda b, i: F.concat(F.element_at(x, i + 1), F.lit(" "), b)))[0]
-    return F.array_distinct(F.concat(w, pairs))
-
-
-def _automaton(terms: list[tuple[str, int, float]]):
-    a = ahocorasick.Automaton()
-    for term, subject, weight in terms:
-        a.add_word(f" {term} ", (subject, weight))
-    a.make_automaton()
-    return a
-
-
-def _matched(terms: list[tuple[str, int, float]], least: float):
-    """A function from the sentences of documents to counts: the sentences of each subject, then all sentences."""
-
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _automaton(terms).iter if terms else lambda s: ()
-        n = len(SUBJECTS)
-        for series in parts:
-            out = []
-            for doc in series:
-                counts = [0] * (n + 1)
-                for s in doc if doc is not None else ():
-                    counts[n] += 1
-                    scores: dict[int, float] = {}
-                    for _, (k, w) in find(s):
-                        scores[k] = scores.get(k, 0.0) + w
-                    if scores:
-                        best = max(scores, key=lambda k: (scores[k], -k))
-                        if scores[best] / (s.count(" ") - 1) ** 0.5 >= least:
-                            counts[best] += 1
-                out.append(counts)
-            yield pd.Series(out)
+def curated(subjects_: list[str], folder: str = TERMS) -> list[tuple[str, int, float]]:
+    """(term, number of the subject, curated weight) of the subjects that have a file; the lists are the operator's
+    parameter and don't depend on any text."""
+    out = []
+    for k, name in enumerate(subjects_):
+        path = Path(folder) / f"{name}.txt"
+        for line in path.read_text(encoding="utf-8").splitlines() if path.is_file() else ():
+            term, _, weight = line.strip().partition("\t")
+            if term:
+                out.append((term, k, float(weight or 1)))
+    return out
+
+
+_FOUND = "sizes array<int>, terms array<int>"
+
+
+def _matched(terms: list[str], keys: list[str]):
+    """Documents (keys, s) to the words and matches of each sentence, two numbers a sentence, and the matched terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        places: dict[str, list[int]] = {}
+        for i, term in enumerate(terms):
+            places.setdefault(term, []).append(i)
+        for term, own in places.items():
+            automaton.add_word(f" {term} ", own)
+        if terms:
+            automaton.make_automaton()
+        for batch in batches:
+            sizes, found, edge, cut = [], [], [0], [0]
+            for doc in batch.column("s").to_pylist():
+                for sentence in doc or ():
+                    hits = {i for _, own in automaton.iter(sentence) for i in own} if terms else ()
+                    sizes += (sentence.count(" ") - 1, len(hits))
+                    found += hits
+                edge.append(len(sizes))
+                cut.append(len(found))
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int32())) for o, v in ((edge, sizes), (cut, found))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *lists], [*keys, "sizes", "terms"])
+
+    return run
+
+
+def rarities(found: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """The number of sentences and, of each of the ``n`` terms, of those with it: partial sums of ``n`` numbers a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, counts = 0, np.zeros(n, np.int64)
+        for batch in batches:
+            total += len(batch.column("sizes").flatten()) // 2
+            counts += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n)), pa.array(np.concatenate([[total], counts]))], ["i", "n"])
+
+    rows = found.select("sizes", "terms").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n")).collect()
+    by = {r[0]: r[1] for r in rows}
+    return by.get(-1, 0), np.array([by.get(i, 0) for i in range(n)], float)
+
+
+def weights(terms: list[tuple[str, int, float]], total: int, counts: np.ndarray) -> np.ndarray:
+    """Curated weight times rarity: 1 for a term that no sentence has, 0 for one that all have."""
+    scale = np.log(total + 2)
+    return np.array([w for _, _, w in terms]) * np.log((total + 2) / (counts + 1)) / scale if terms else np.zeros(0)
+
+
+def _scored(subject: np.ndarray, weight: np.ndarray, n: int, least: float):
+    """Matches to counts: the sentences of each subject, then all sentences. Ties go to the subject listed first."""
+
+    def run(sizes: pd.Series, terms: pd.Series) -> pd.Series:
+        docs = np.array([len(x) // 2 for x in sizes])
+        flat = (np.concatenate([np.asarray(x) for x in sizes]) if docs.sum() else np.zeros(0)).astype(np.int64).reshape(-1, 2)
+        ids = (np.concatenate([np.asarray(x) for x in terms]) if flat[:, 1].sum() else np.zeros(0)).astype(np.int64)
+        m = len(flat)
+        at = np.repeat(np.arange(m), flat[:, 1])
+        score = np.bincount(at * n + subject[ids], weight[ids], m * n).reshape(m, n) if m else np.zeros((0, n))
+        best = score.argmax(1) if m else np.zeros(0, int)
+        ok = score.max(1) > least * np.sqrt(np.maximum(flat[:, 0], 1)) if m else np.zeros(0, bool)
+        doc = np.repeat(np.arange(len(docs)), docs)
+        counts = np.bincount(doc[ok] * n + best[ok], minlength=len(docs) * n).reshape(len(docs), n)
+        return pd.Series([[*map(int, row), int(k)] for row, k in zip(counts, docs)])
 
     return F.pandas_udf(run, "array<int>")
 
 
-def learned_terms(split: DataFrame) -> list[tuple[str, int, float]]:
-    """(term, number of the subject, weight) from the counts over all documents, given as sentences (column s).
+def calibrated(counts: DataFrame, labels: DataFrame, names: list[str], key: str = "doc_id", bound: int = 20_000, default: float = 0.25, enough: int = 20) -> list[float]:
+    """For each subject the share of sentences from which a document deals with it: the threshold with the best F1 on the
+    labels, of equals the nearest to ``default``.
 
-    A document's subjects are the shares of its sentences with seeds; only documents with three such sentences teach. A
-    term stands for the subject that holds ``PURITY`` of its sentences. The list goes to all executors; it is bounded by
-    the number of terms with at least ``LEAST`` sentences and ``LEAST_SHARE`` of all that are pure, which is the size of
-    a subject vocabulary, not of the corpus.
-    """
-    seeds = [(t, k, 1.0) for k, s in enumerate(SUBJECTS) for t in SEEDS[s].split("|")]
-    n = len(SUBJECTS)
-    docs = split.select("s").withColumn("c", _matched(seeds, 0.0)("s"))
-    own = F.slice("c", 1, n)
-    seen = F.aggregate(own, F.lit(0), lambda a, x: a + x)
-    docs = docs.withColumn("n", seen).where("n >= 3").select("s", F.transform(F.slice("c", 1, n), lambda x: x / F.col("n")).alias("q"))
-    each = docs.select(F.explode("s").alias("s"), "q").select(F.explode(_terms(F.col("s"))).alias("term"), "q").where(F.length("term") >= 3)
-    sums = stage(each.groupBy("term").agg(F.count("*").alias("n"), *[F.sum(F.col("q")[k]).alias(f"q{k}") for k in range(n)]), "terms")
-    total = split.select(F.sum(F.greatest(F.size("s"), F.lit(0)))).first()[0] or 0
-    least = max(LEAST, total * LEAST_SHARE)
-    shares = F.array(*[F.col(f"q{k}") / F.col("n") for k in range(n)])
-    pure = sums.where(F.col("n") >= least).withColumn("p", F.array_max(shares)).withColumn("k", F.array_position(shares, F.array_max(shares)) - 1)
-    # chance alone lifts the share of rare terms: take the lower end of its range
-    low = F.col("p") - F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
-    rows = pure.where(low >= PURITY).select("term", F.col("k").cast("int").alias("k"), (F.col("p") * F.log(F.lit(float(max(total, 2))) / F.col("n")) / 10).alias("w")).collect()
-    return sorted((r["term"], r["k"], float(r["w"])) for r in rows)
-
-
-def counted(split: DataFrame, terms: list[tuple[str, int, float]], keys: list[str], least: float = 0.05) -> DataFrame:
-    """``keys``, the sentences of each subject (array c) and the number of sentences (n)."""
-    n = len(SUBJECTS)
-    d = split.select(*keys, _matched(terms, least)("s").alias("c"))
-    return d.select(*keys, F.slice("c", 1, n).alias("c"), F.col("c")[n].alias("n"))
-
-
-def calibrated(counts: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = 20_000, default: float = 0.25) -> float:
-    """The share of sentences from which a document deals with a subject: the threshold with the best F1 on the labels.
-
-    At most ``bound`` labelled documents (the smallest hashes of their ids) are used; without labels it is ``default``.
+    At most ``bound`` labelled documents (the smallest hashes of their ids) are used. A subject with fewer than ``enough``
+    positive ones takes the threshold of all subjects together, and without as many labels at all it is ``default``.
     """
     some = labels.groupBy(key).agg(F.collect_set("subject").alias("true")).orderBy(F.xxhash64(key), key).limit(bound)
     rows = counts.join(F.broadcast(some), key).select("true", "c", "n").collect()
-    scored = [(r["c"][k] / r["n"], s in r["true"]) for r in rows if r["n"] for k, s in enumerate(SUBJECTS)]
-    positives = sum(t for _, t in scored)
-    if positives < 20:
-        return default
-    grid = [x / 200 for x in range(24, 66)]
-
-    def f1(t: float) -> float:
-        hit, said = sum(y for x, y in scored if x >= t), sum(1 for x, _ in scored if x >= t)
-        return 2 * hit / (said + positives) if said else 0.0
-
-    scores = [f1(t) for t in grid]
-    near = [t for t, s in zip(grid, scores) if s >= max(scores) - 0.002]
-    return min(near, key=lambda t: abs(t - default))
-
-
-def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    seen = [[(r["c"][k] / r["n"], s in r["true"]) for r in rows if r["n"]] for k, s in enumerate(names)]
+    grid = [x / 200 for x in range(12, 80)]
+
+    def best(pairs: list[tuple[float, bool]], otherwise: float) -> float:
+        positives = sum(y for _, y in pairs)
+        if positives < enough:
+            return otherwise
+        f1 = {t: 2 * sum(y for x, y in pairs if x >= t) / (sum(1 for x, _ in pairs if x >= t) + positives) for t in grid}
+        return min((t for t in grid if f1[t] >= max(f1.values()) - 0.002), key=lambda t: abs(t - default))
+
+    together = best([p for pairs in seen for p in pairs], default)
+    return [best(pairs, together) for pairs in seen]
+
+
+def _counted(df: DataFrame, areas: DataFrame, key: str, text: str, folder: str) -> tuple[DataFrame, list[str], list[tuple[str, int, float]], np.ndarray, np.ndarray]:
+    """Counts per document (key, c, n), staged, the subjects, the terms, their sentences and their weights."""
+    names = sorted(r["subject"] for r in areas.where("subject IS NOT NULL").select("subject").distinct().collect())  # a closed list
+    terms = curated(names, folder)
+    kind = df.schema[key].dataType.simpleString()
+    split = df.select(F.col(key).alias("k"), sentences(F.col(text)).alias("s"))
+    found = stage(split.mapInArrow(_matched([t for t, _, _ in terms], ["k"]), f"k {kind}, {_FOUND}"), "matches")
+    total, sums = rarities(found, len(terms))
+    w = weights(terms, total, sums)
+    n = len(names)
+    subject = np.array([k for _, k, _ in terms], np.int64)
+    c = found.select(F.col("k").alias(key), _scored(subject, w, max(n, 1), LEAST)("sizes", "terms").alias("c"))
+    counts = stage(c.select(key, F.slice("c", 1, max(n, 1)).alias("c"), F.col("c")[max(n, 1)].alias("n")), "counts")
+    release(found)
+    return counts, names, terms, sums, w
+
+
+def subjects(df: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TERMS) -> DataFrame:
     """(key, subject, share): every subject of ``areas`` that a document deals with.
 
-    Null, blank and foreign texts deal with none. Repeated rows of a document count once. Ties of a sentence go to the
-    subject listed first. Subjects of ``areas`` for which there are no seeds never come out.
+    Null and blank texts, and texts without any term, deal with none; terms are French and English. Repeated rows of a
+    document count once. Ties of a sentence go to the subject first by name. Subjects of ``areas`` for which there is no
+    file of terms never come out.
     """
-    split = stage(df.select(key, sentences(F.col(text)).alias("s")), "sentences")
-    counts = stage(counted(split, learned_terms(split), [key]), "counts")
-    release(split)
-    at = calibrated(counts, labels, key)
-    share = [F.struct(F.lit(s).alias("subject"), (F.col("c")[k] / F.col("n")).alias("share")) for k, s in enumerate(SUBJECTS)]
-    found = counts.where("n > 0").select(key, F.explode(F.array(*share)).alias("x")).where(F.col("x.share") >= at)
-    known = areas.select("subject").distinct()
-    return found.select(key, "x.subject", "x.share").dropDuplicates([key, "subject"]).join(F.broadcast(known), "subject", "left_semi")
+    counts, names, *_ = _counted(df, areas, key, text, folder)
+    at = calibrated(counts, labels, names, key)
+    share = [F.struct(F.lit(s).alias("subject"), (F.col("c")[k] / F.col("n")).alias("share"), F.lit(at[k]).alias("at")) for k, s in enumerate(names)]
+    if not share:
+        return counts.select(key, F.lit("").alias("subject"), F.lit(0.0).alias("share")).limit(0)
+    found = counts.where("n > 0").select(key, F.explode(F.array(*share)).alias("x")).where("x.share >= x.at")
+    return found.select(key, "x.subject", "x.share").dropDuplicates([key, "subject"])
 
 
 def _tables(spark, sf_dir):
@@ -183,4 +201,11 @@ def p10_composition(spark, sf_dir):
     return found.join(docs.select("doc_id", "source").dropDuplicates(["doc_id"]), "doc_id").groupBy("source", "subject").agg(F.count("*").alias("n_documents"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_composition": p10_composition}
+def p10_terms(spark, sf_dir):
+    """The whole list of terms that decides, with the sentences of each and its weight."""
+    docs, _, areas = _tables(spark, sf_dir)
+    _, names, terms, sums, w = _counted(docs, areas, "doc_id", "text", TERMS)
+    return spark.createDataFrame([(names[k], t, int(n), round(float(x), 6)) for (t, k, _), n, x in zip(terms, sums, w)], "subject string, term string, n_sentences bigint, weight double")
+
+
+QUERIES = {"p10_found": p10_found, "p10_composition": p10_composition, "p10_terms": p10_terms}

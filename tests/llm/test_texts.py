@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def test_replaced(spark):
 
 
 def test_marks_keep_the_text(spark):
-    texts = {"a@b.fr,06 12 34 56 78;Jean Lang!": "§,§;§!", "12 rue Bleue a@b.fr": "§ §", "12 rue Bleue,a@b.fr et 13 rue Verte 0612345678": "§,§ et § §", "Jean Lang puis Paul Roux a@b.fr c@d.fr": "§ puis § § §", "x" * 5000 + " a@b.fr " + "y" * 5000: "x" * 5000 + " § " + "y" * 5000}
+    texts = {"a@b.fr; 06 12 34 56 78 ; Jean Lang!": "§;§;§!", "12 rue Bleue a@b.fr": "§ §", "12 rue Bleue,a@b.fr et 13 rue Verte 0612345678": "§,§ et § §", "Jean Lang puis Paul Roux a@b.fr c@d.fr": "§ puis § § §", "x" * 5000 + " a@b.fr " + "y" * 5000: "x" * 5000 + " § " + "y" * 5000}
     df = spark.createDataFrame([(t, t, None) for t in texts], "msg_id string, content string, user string")
     for r in personal.replaced(df, "k").collect():
         bare = re.sub(r"\[[a-z_]+:[^\]]*\]", "§", r.content)
@@ -200,8 +201,8 @@ def test_restored(raw, want):
 
 def test_subjects(spark):
     r = random.Random(4)
-    terms = {s: v.split("|") for s, v in subjects.SEEDS.items()}
-    names = list(terms)
+    names = sorted(p.stem for p in Path(subjects.TERMS).glob("*.txt"))
+    terms = {s: [t for t, k, _ in subjects.curated(names) if names[k] == s] for s in names}
     rows, labels = [], []
     for i in range(300):
         s = names[i % len(names)]
@@ -214,4 +215,7 @@ def test_subjects(spark):
     got = [(x.doc_id, x.subject) for x in subjects.subjects(docs, lab, areas).collect()]
     assert len(got) == len(set(got)) and len(set(got) & set(labels)) / len(labels) > 0.97 and len(got) < 320
     assert not {d for d, _ in got} & {1000, 1001, 1002}
-    assert subjects.subjects(docs.limit(0), lab, areas).count() == 0
+    assert subjects.subjects(docs.limit(0), lab, areas).count() == 0 and subjects.subjects(docs, lab, areas.limit(0)).count() == 0
+    counts = spark.createDataFrame([(i, [i % 10, 10 - i % 10], 10) for i in range(100)], "doc_id long, c array<int>, n int")
+    some = spark.createDataFrame([(i, "a" if i % 10 >= 4 else None) for i in range(100)], "doc_id long, subject string")
+    assert subjects.calibrated(counts, some, ["a", "b"])[0] == 0.305 and subjects.calibrated(counts, some, ["a", "b"], enough=99) == [0.25, 0.25]
