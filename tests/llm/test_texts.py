@@ -180,17 +180,27 @@ def test_abuse_learns_from_twenty_thousand_texts(spark, monkeypatch):
     seen = []
     fit = abuse.Ordinal.fit
 
-    def short(self, rows, cols, y, n, d):
+    def short(self, rows, cols, y, n, d, prior):
         seen.append((n, self.rounds))
         self.rounds = 2
-        return fit(self, rows, cols, y, n, d)
+        return fit(self, rows, cols, y, n, d, prior)
 
     monkeypatch.setattr(abuse.Ordinal, "fit", short)
-    many = spark.range(21_000).select(F.concat(F.lit("message "), "id").alias("content"), F.concat(F.lit("Note : "), F.col("id") % 10, F.lit("/10")).alias("CoT_score"))
+    many = spark.range(26_000).select(F.concat(F.lit("message "), "id").alias("content"), F.concat(F.lit("Note : "), F.col("id") % 10, F.lit("/10")).alias("CoT_score"))
     abuse.fitted(many)
     assert seen == [(20_000, 300)]
 
 
+def test_abuse_holds_beyond_the_labels(spark):
+    model = abuse.fitted(labelled(spark))
+    at = lambda t: float(model["model"].expected([sum(model["weights"].get(q, 0.0) for q in abuse.sequences(abuse.tokens(t, model["names"])))])[0])
+    bad = ["nique ta mère", "sale connard", "je vais te tuer", "espèce de raclure", "bande d'idiots, bande de crétins", "tu n'es qu'un minable", "ta gueule", "va te faire voir"]
+    calm = ["on peut se voir demain", "je cherche un vélo", "il faut tuer le processus", "quel beau temps", "« sale connard » est une insulte", "qui connaît ce jeu de cartes", "la mère de mon ami", "merci à tous"]
+    assert min(map(at, bad)) > model["flag"] > max(map(at, calm))
+    h = model["held_out"]
+    assert h["n"] > 50 and h["hit"] >= 0.9 * h["bad"] and h["hit"] >= 0.9 * h["said"]
+
+
 @pytest.mark.parametrize("raw,want", [("c.o.n.n.u", "connu"), ("f0rum", "forum"), ("grrrrros", "gros"), ("sаlut", "salut"), ("été 2024", "ete 2024")])
 def test_restored(raw, want):
     assert abuse.restored(raw) == want
