@@ -44,8 +44,15 @@ def _flat(hooks: DataFrame) -> DataFrame:
             return now
 
 
-def _relabelled(df: DataFrame, col: str, roots: DataFrame) -> DataFrame:
-    return df.join(roots.select(F.col("a").alias(col), F.col("p").alias("__p")), col, "left").withColumn(col, F.coalesce("__p", col)).drop("__p")
+#: Roots that change in a round up to which their map is broadcast; beyond, they are joined by a shuffle.
+_FEW = 200_000
+
+
+def _relabelled(df: DataFrame, col: str, moved: DataFrame, few: bool) -> DataFrame:
+    """``df`` with ``col`` brought to its new root; ``moved`` (a, p) holds only roots that change. While they are few no
+    row of ``df`` leaves its place, however many hang on one root."""
+    to = moved.select(F.col("a").alias(col), F.col("p").alias("__p"))
+    return df.join(F.broadcast(to) if few else to, col, "left").withColumn(col, F.coalesce("__p", col)).drop("__p")
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -55,8 +62,10 @@ def connected(pairs: DataFrame) -> DataFrame:
     while edges.limit(1).count():
         both = edges.select(F.col("x").alias("a"), F.col("y").alias("b")).union(edges.select("y", "x"))
         flat = _flat(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")))
-        new = stage(_relabelled(_relabelled(edges, "x", flat), "y", flat).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
-        comp2 = stage(_relabelled(comp, "root", flat), "roots")
+        moved = flat.where("a <> p").select("a", "p")
+        few = moved.count() <= _FEW
+        new = stage(_relabelled(_relabelled(edges, "x", moved, few), "y", moved, few).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+        comp2 = stage(_relabelled(comp, "root", moved, few), "roots")
         for t in (edges, comp, flat):
             release(t)
         edges, comp = new, comp2
@@ -122,38 +131,44 @@ def updated(state: DataFrame | None, pairs: DataFrame, weights: DataFrame, propo
         nodes = old.select("node", "root").union(nodes.join(old, "node", "left_anti").withColumn("root", F.col("node")))
     else:
         nodes = nodes.withColumn("root", F.col("node"))
-    moved = top.select(F.col("node").alias("root"), F.col("root").alias("new"))
-    all_nodes = stage(nodes.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "nodes")
-    before = old.select("root", "split").distinct().join(moved, "root", "left").select(F.coalesce("new", "root").alias("root"), "split")
+    moved = top.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("p"))
+    few = moved.count() <= _FEW
+    all_nodes = stage(_relabelled(nodes, "root", moved, few).select("node", "root"), "nodes")
+    before = _relabelled(old.select("root", "split").distinct(), "root", moved, few)
     kept = before.groupBy("root").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).select("root", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(QUARANTINE).alias("split"))
-    sized = stage(all_nodes.join(weights, "node", "left").groupBy("root").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n")).join(kept, "root", "left"), "sized")
+    sized = stage(all_nodes.join(weights, "node", "left").groupBy("root").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.count("*").alias("m")).join(kept, "root", "left"), "sized")
     totals = {r["split"]: r["n"] for r in sized.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row per split
     total = sum(n for s, n in totals.items() if s != QUARANTINE)
     fresh = _assigned(sized.where(F.col("split").isNull()).select("root", "n"), totals, proportions, total)
     splits = sized.where(F.col("split").isNotNull()).select("root", "split").union(fresh)
-    return all_nodes.join(splits, "root").select("node", "root", "split")
+    release(top)
+    # a component may hold most of the nodes: its nodes are spread over salts
+    return salted_join(all_nodes, splits.join(sized.select("root", "m"), "root"), "root", "m", all_nodes.count(), F.col("node")).select("node", "root", "split")
 
 
 def weights(df: DataFrame, left: str = "user") -> DataFrame:
     return df.groupBy(account(F.col(left)).alias("node")).agg(F.count("*").alias("n")).where(F.col("node").isNotNull())
 
 
-def assigned(df: DataFrame, state: DataFrame, left: str = "user", right: str = "topic", proportions: dict[str, float] | None = None) -> DataFrame:
-    """``df`` with its split. A row without an account takes that of its topic's accounts; without both, one by hash."""
+def assigned(df: DataFrame, state: DataFrame, left: str = "user", right: str = "topic", proportions: dict[str, float] | None = None, key: str = "msg_id") -> DataFrame:
+    """``df`` with its split. A row without an account takes that of its topic's accounts, one whose topic has none that
+    of the topic's hash; a row without both is alone and takes one by the hash of its key, so copies of it agree."""
     names = proportions or SPLITS
     a, t = account(F.col(left)), account(F.col(right))
     rows = df.withColumn("__a", a).withColumn("__t", t)
     by_node = state.select(F.col("node").alias("__a"), F.col("split").alias("__s1"))
     topics = rows.where("__a IS NOT NULL AND __t IS NOT NULL").select("__a", "__t").distinct().join(by_node, "__a").groupBy("__t").agg(F.min("__s1").alias("__s2"))
-    u, edge, choice = F.pmod(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("__t",)], F.lit(7)), F.lit(10**6)) / 1e6, 1.0, F.lit(list(names)[-1])
+    own = F.coalesce(F.concat(F.lit("t:"), F.col("__t")), F.concat(F.lit("k:"), F.col(key).cast("string")), F.lit(""))
+    u, edge, choice = F.pmod(F.xxhash64(own, F.lit(7)), F.lit(10**6)) / 1e6, 1.0, F.lit(list(names)[-1])
     for s in reversed(list(names)[:-1]):
         edge -= names[list(names)[list(names).index(s) + 1]]
         choice = F.when(u < edge, s).otherwise(choice)
     n = rows.groupBy("__a").count().where("__a IS NOT NULL").withColumnRenamed("count", "__n")
     total = df.count()
     with_account = salted_join(rows.where("__a IS NOT NULL"), by_node.join(n, "__a"), "__a", "__n", total, F.col("__t")).withColumnRenamed("__s1", "split")
-    rest = rows.where("__a IS NULL").join(topics, "__t", "left").withColumn("split", F.coalesce("__s2", choice)).drop("__s2")
-    return with_account.unionByName(rest).drop("__a", "__t")
+    rest = rows.where("__a IS NULL AND __t IS NOT NULL").join(topics, "__t", "left").withColumn("split", F.coalesce("__s2", choice)).drop("__s2")
+    alone = rows.where("__a IS NULL AND __t IS NULL").withColumn("split", choice)
+    return with_account.unionByName(rest).unionByName(alone).drop("__a", "__t")
 
 
 def p7_found(spark, sf_dir):

@@ -18,7 +18,7 @@ from agoramill.runtime import release, salted_join, stage
 
 _HISTOGRAM = ["e", "a", "s", "i", "n", "t", "r", "u", "l", "o", "0123456789"]
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
-_LABEL = r"[\p{L}\p{N}][\p{L}\p{N}\p{M} '’_\-]{0,38}\s*[:=]"
+_LABEL = r"[\p{L}\p{N}][\p{L}\p{N}\p{M} '’_\-]{0,200}\s*[:=]"
 _SPLIT = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{M}}:=]+(?={_LABEL})")
 _FIELD = regex.compile(rf"\s*({_LABEL})(.*)", regex.S)
 
@@ -59,15 +59,20 @@ def invariants(c: Column) -> Column:
     return F.xxhash64(size, *[F.length(F.regexp_replace(plain, f"[^{x}]+", "")) for x in _HISTOGRAM])
 
 
+def _by_field(now: DataFrame) -> DataFrame:
+    return now.join(now.groupBy("fk").agg(F.min("g").alias("__g")), "fk").groupBy("lk").agg(F.min("__g").alias("g"))
+
+
 def _merged(labelled: DataFrame) -> DataFrame:
     """(lk, g): letter keys that share a field key, directly or through others, get the same g."""
     now = stage(labelled.groupBy("lk", "fk").agg(F.min("lk").alias("g")), "labels")
-    ambiguous = now.groupBy("lk").count().where("count > 1").limit(1).count() > 0
+    if now.groupBy("lk").count().where("count > 1").limit(1).count() == 0:  # every letter key has one field key
+        return _by_field(now)
     while True:
         by_field = now.groupBy("fk").agg(F.min("g").alias("__g"))
         nxt = now.join(by_field, "fk").groupBy("lk").agg(F.min("__g").alias("__g"))
         new = stage(now.join(nxt, "lk").select("lk", "fk", F.least("g", "__g").alias("g"), (F.col("__g") < F.col("g")).alias("changed")), "labels")
-        changed = ambiguous and new.where("changed").limit(1).count() > 0
+        changed = new.where("changed").limit(1).count() > 0
         release(now)
         now = new.drop("changed")
         if not changed:
@@ -78,7 +83,7 @@ def copies(df: DataFrame, key: str = "msg_id", text: str = "content") -> DataFra
     """(first, copy): for every id of a group of equal contents but its smallest, the smallest and the id.
 
     Rows with a null id or content, and contents without a letter or digit, belong to no group. Rows delivered twice
-    under one id are one record. An id whose rows differ in content is in the group of each. No rows, no result.
+    under one id are one record. A label has at most 201 characters; what is longer is no label. An id whose rows differ in content is in the group of each. No rows, no result.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), invariants(F.col(text)).alias("inv"))
     classes = stage(rows.groupBy("inv").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("inv", "n"), "classes")
@@ -100,7 +105,11 @@ def collapsed(df: DataFrame, key: str = "msg_id", text: str = "content") -> Data
     """One record per group with its number of copies (distinct ids, itself included); null ids are left out."""
     pairs = stage(copies(df, key, text), "copies")
     n = pairs.groupBy("first").agg(F.count("*").alias("n")).withColumnRenamed("first", key)
-    one = df.where(F.col(key).isNotNull()).dropDuplicates([key]).join(pairs.select(F.col("copy").alias(key)).distinct(), key, "left_anti")
+    cols = [c for c in df.columns if c != key]
+    # of rows delivered under one id with different values the first by their text form, so that every run keeps the same
+    order = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("__row"))
+    one = first.select(key, "__row.*").join(pairs.select(F.col("copy").alias(key)).distinct(), key, "left_anti")
     return one.join(n, key, "left").withColumn("n_copies", F.coalesce(F.col("n"), F.lit(0)) + 1).drop("n")
 
 

@@ -93,8 +93,11 @@ def test_splits_incremental(spark):
     assert after["fresh"].split == "train" and after[b].split == after[c].split == components.QUARANTINE and after["lone"].split in components.SPLITS
     untouched = [n for n, r in rows.items() if r.root not in (rows[b].root, rows[c].root)]
     assert all(after[n].split == rows[n].split for n in untouched)
-    out = components.assigned(first.drop("split", "node"), state)
-    assert out.count() == 402 and out.where("split IS NULL").count() == 0
+    lonely = make([(None, None, f"m{i}", "") for i in range(300)])
+    out = components.assigned(first.union(lonely).withColumnRenamed("split", "msg_id").drop("node"), state)
+    assert out.count() == 702 and out.where("split IS NULL").count() == 0
+    alone = Counter(r.split for r in out.where("user IS NULL AND topic IS NULL").collect())
+    assert len(alone) == 3 and alone["train"] > 200
     assert components.updated(None, components.links(first.limit(0)), components.weights(first.limit(0))).count() == 0
 
 
