@@ -181,7 +181,7 @@ def _flag_at(severity: np.ndarray, bad: np.ndarray, gap: tuple[int, int]) -> flo
         lo -= 1
     while hi + 1 < len(cuts) and near[hi + 1]:
         hi += 1
-    return float((cuts[lo] + cuts[hi]) / 2)
+    return float(((order[lo - 1] if lo else cuts[lo]) + cuts[hi]) / 2)  # as far down as no other message lies
 
 
 def fitted(labelled: DataFrame, text: str = "content", grade: str = "CoT_score", bound: int = SAMPLE, held_out: int = HELD_OUT) -> dict | None:

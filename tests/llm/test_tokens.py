@@ -51,12 +51,14 @@ def test_plan_places_everything():
             h[v] = h.get(v, 0) + 1
         got = {}
         containers = 0
-        for pattern, times in packing.plan(h, cap):
+        for pattern, times, _ in packing.plan(h, cap):
             assert sum(pattern) <= cap and times > 0
             containers += times
             for v in pattern:
                 got[v] = got.get(v, 0) + times
         assert got == h
+        if n >= 3000:
+            assert sum(len(p) * k for p, k, ok in packing.plan(h, cap) if ok) >= 0.5 * n
         if n >= 500:
             assert containers <= 1.03 * sum(v * c for v, c in h.items()) / cap + 1
 
